@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, join_hot, longs_of, per_batch, slim, stage
+from .common import NULL_ID, bytes_of, join_hot, longs_of, per_batch, slim, stage, unused
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: [\x20\x09-\x0D]
@@ -71,12 +71,39 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     document that ranks below all others. Rows that repeat a doc_id are one document. An empty table gives no rows.
     """
     rows = slim(docs)
+    both = rows.join(_dropped(rows, min_chars, min_docs).hint("shuffle_hash"), "doc_id", "left")
+    return both.mapInArrow(_reassemble(min_chars, ["doc_id"]), KEPT)
+
+
+def _dropped(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """doc_id and the keys of the lines that it loses."""
     pairs = stage(rows.mapInArrow(_keys(min_chars), "doc_id long, key binary"), "lines")
     keys = pairs.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keep_id")).where(F.col("n") >= min_docs)
     drop = join_hot(pairs, stage(keys, "keys"), "key", "n", pairs.count()).where("doc_id != keep_id")
-    by_doc = drop.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
-    both = rows.join(by_doc.hint("shuffle_hash"), "doc_id", "left")
-    return both.mapInArrow(_reassemble(min_chars, ["doc_id"]), KEPT)
+    return drop.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
+
+
+def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` with the texts that stay after ``line_dedup``, and n_chars, where there is one, to match. A null text stays null."""
+    drop, key = unused("drop", docs.columns), unused("doc_key", docs.columns)
+    gone = _dropped(slim(docs), min_chars, min_docs).select(F.col("doc_id").alias(key), F.col("drop").alias(drop))
+    rows = docs.withColumn(key, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID))).join(gone.hint("shuffle_hash"), key, "left")
+    out = rows.withColumn("text", F.when(F.col(drop).isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col(drop), min_chars)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(drop).isNull(), F.col("n_chars")).otherwise(F.length("text")))
+    return out.select(*docs.columns)
+
+
+def _without(text: F.Column, drop: F.Column, min_chars: int) -> F.Column:
+    @F.arrow_udf("string")
+    def kept(texts: pa.Array, drops: pa.Array) -> pa.Array:
+        out = []
+        for t, d in zip(texts.cast(pa.large_binary()).to_pylist(), drops.to_pylist(), strict=True):
+            gone = set(d or ())
+            out.append(t and b"\n".join(x for x in t.split(b"\n") if line_key(x, min_chars) not in gone))
+        return pa.array(out, pa.binary()).cast(pa.string())
+
+    return kept(text, drop)
 
 
 ORACLE = r"""
