@@ -546,3 +546,103 @@ def bootstrap_ci(spark, sf):
 @query()
 def paired_bootstrap(spark, sf):
     return resample.paired_bootstrap(eyes(spark, sf), "p", "pb")
+
+
+# learning: embeddings as descriptors, half of the label as grade, four neighbours as a group
+def _vectors(spark, sf, n=12):
+    e = _read(spark, sf, "embeddings")
+    cols = [F.element_at("embedding", k + 1).cast("double").alias(f"{list(scalars.FAMILIES)[k % 4]}_{k}") for k in range(n)]
+    return e.select(F.col("vec_id").alias("image_id"), F.floor(F.col("vec_id") / 4).cast("string").alias("group"), F.floor(F.col("label") / 2).cast("int").alias("grade"), *cols)
+
+
+def _learn(name: str, **params):
+    def run(spark, sf):
+        from ocellus.ml import models
+        from ocellus.operators.extract import feature_columns
+
+        rows = _vectors(spark, sf)
+        cols = feature_columns(rows)
+        split = splits.holdout(rows)
+        got = models.fit(name, split.where("not test"), cols, params, cv=3).transform(split.where("test"))
+        return got.select("image_id", "grade", "prediction", F.round("score", 6).alias("score"))
+
+    return run
+
+
+for _name, _params in (("dummy_frequent", {}), ("dummy_stratified", {}), ("logreg", {}), ("random_forest", {"trees": 20, "depth": 5}), ("hist_gbm", {"iterations": 5, "depth": 3}), ("ordinal_gbm", {"iterations": 8, "depth": 3})):
+    QUERIES[f"{_name}_predictions"] = _learn(_name, **_params)
+
+
+def _small():
+    from ocellus.config import Config, Modeling
+
+    return Config(modeling=Modeling(cv_folds=2, n_search_iter=1, nested_outer_folds=2, n_bootstrap=100, models=("logreg",), permutation_repeats=2))
+
+
+@query()
+def leakage_audit(spark, sf):
+    from ocellus.ml import protocol
+
+    rows = _vectors(spark, sf)
+    got = protocol.leakage_audit(rows, protocol.feature_columns(rows), "logreg", _small())
+    return spark.createDataFrame([tuple(got.values())], "model string, grouped_qwk double, random_qwk double, optimism double")
+
+
+@query()
+def nested_cv(spark, sf):
+    from ocellus.ml import protocol
+
+    rows = _vectors(spark, sf, 6)
+    got = protocol.nested(rows, protocol.feature_columns(rows), ("logreg",), _small())
+    return spark.createDataFrame([(r["model"], r["fold"], r["qwk"]) for r in got], "model string, fold int, qwk double")
+
+
+@query()
+def permutation_importance(spark, sf):
+    from ocellus.ml import models, protocol
+
+    rows = _vectors(spark, sf)
+    cols = protocol.feature_columns(rows)
+    split = splits.holdout(rows)
+    return protocol.permutation_importance(models.fit("logreg", split.where("not test"), cols), split.where("test"), cols, 3)
+
+
+@query()
+def family_ablation(spark, sf):
+    from ocellus.ml import protocol
+
+    rows = _vectors(spark, sf, 6)
+    got = protocol.family_ablation(rows, protocol.feature_columns(rows), "logreg", _small())
+    return spark.createDataFrame([tuple(r.values()) for r in got], "family string, n int, all_qwk double, only_qwk double, without_qwk double, loss double")
+
+
+@query()
+def image_extract(spark, sf):
+    """Descriptors of a synthetic cohort with a patient for each region."""
+    from ocellus.config import Features, Synthetic
+    from ocellus.operators.extract import describe, schema
+    from ocellus.sources.tables import synthetic
+
+    n = _read(spark, sf, "region").count()
+    features = Features(work_size=96)
+    pictures = synthetic(spark, Synthetic(n_patients=n, image_size=128))
+    out = schema(features)
+    names = out.fieldNames()
+
+    def run(batches):
+        import pandas as pd
+
+        from ocellus.config import Quality
+        from ocellus.kernels.render import unpng
+
+        for b in batches:
+            yield pd.DataFrame([describe(r.image_id, "", lambda r=r: unpng(r.png), features, Quality()) for r in b.itertuples()]).reindex(columns=names)
+
+    return pictures.mapInPandas(run, out)
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low FROM events GROUP BY ALL")
+def quality_windows(spark, sf):
+    from ocellus.streaming.events import quality_windows as windows
+
+    return windows(_read(spark, sf, "events")).withColumn("mean", F.round("mean", 6)).withColumn("start", F.col("start").cast("timestamp_ntz"))
