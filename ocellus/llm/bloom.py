@@ -22,6 +22,7 @@ SEGMENT = 8192  # bytes
 CHUNK = 1 << 20  # keys
 #: Tasks that build; more partitions are read by fewer tasks, so a segment meets a bounded number of pieces.
 MAX_TASKS = 1024
+MOST_FREQUENT = 1000
 
 
 def n_bits(n_keys: int) -> int:
@@ -64,8 +65,17 @@ def _add(once: np.ndarray, again: np.ndarray, keys: np.ndarray, bits: int) -> No
 
 
 class _Build:
-    def __init__(self, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int):
-        self.keys, self.bits = keys, bits
+    def __init__(self, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int, often: int):
+        self.keys, self.bits, self.often = keys, bits, often
+
+    def _frequent(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Keys that one chunk holds ``often``, with their counts, as a piece of no segment."""
+        if self.often:
+            s = np.sort(keys)
+            if len(s) > self.often and (s[self.often :] == s[: -self.often]).any():
+                k, n = np.unique(s, return_counts=True)
+                ok = n > self.often
+                yield _piece(-1, b"", k[ok].tobytes(), n[ok].astype(np.int64).tobytes())
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, again = np.zeros(self.bits // 8, np.uint8), np.zeros(self.bits // 8, np.uint8)
@@ -75,22 +85,32 @@ class _Build:
                 held.append(got)
                 n += len(got)
                 if n >= CHUNK:
-                    _add(once, again, np.concatenate(held), self.bits)
+                    chunk = np.concatenate(held)
+                    _add(once, again, chunk, self.bits)
+                    yield from self._frequent(chunk)
                     held, n = [], 0
         if n:
-            _add(once, again, np.concatenate(held), self.bits)
+            chunk = np.concatenate(held)
+            _add(once, again, chunk, self.bits)
+            yield from self._frequent(chunk)
         for k in range(0, len(once), SEGMENT):
             o, a = once[k : k + SEGMENT], again[k : k + SEGMENT]
             at = np.flatnonzero(o)
             if len(at):
                 sparse = len(at) < SEGMENT // 2
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k // SEGMENT], pa.int32()), pa.array([at.astype(np.uint16).tobytes() if sparse else b""], pa.binary()), pa.array([(o[at] if sparse else o).tobytes()], pa.binary()), pa.array([(a[at] if sparse else a).tobytes()], pa.binary())],
-                    names=["segment", "at", "once", "again"],
-                )
+                yield _piece(k // SEGMENT, at.astype(np.uint16).tobytes() if sparse else b"", (o[at] if sparse else o).tobytes(), (a[at] if sparse else a).tobytes())
+
+
+def _piece(segment: int, at: bytes, once: bytes, again: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), *(pa.array([x], pa.binary()) for x in (at, once, again))], names=["segment", "at", "once", "again"])
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    if pdf["segment"].iloc[0] < 0:
+        keys, at = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["once"]]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([np.frombuffer(x, np.int64) for x in pdf["again"]])).astype(np.int64)
+        top = np.argsort(-n, kind="stable")[:MOST_FREQUENT]
+        return pd.DataFrame({"segment": [-1], "again": [keys[top].tobytes()]})
     once, again = np.zeros(SEGMENT, np.uint8), np.zeros(SEGMENT, np.uint8)
     for at, o, a in zip(pdf["at"], pdf["once"], pdf["again"], strict=True):
         i = np.frombuffer(at, np.uint16) if len(at) else slice(None)
@@ -102,10 +122,21 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def repeated(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], n_keys: int) -> Broadcast:
     """The broadcast bitmap of keys seen more than once. ``keys`` gives uint64 arrays of a batch of ``df``; n_keys: about how many."""
+    return repeated_and_frequent(df, keys, n_keys, 0)[0]
+
+
+def repeated_and_frequent(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], n_keys: int, limit: int) -> tuple[Broadcast, np.ndarray]:
+    """The bitmap, and at most MOST_FREQUENT keys, among them those that occur over ``limit`` times: such a key must make up more
+    than its even share of some task's chunk, and only such keys are counted."""
     bits = n_bits(n_keys)
-    pieces = df.coalesce(MAX_TASKS).mapInArrow(_Build(keys, bits), "segment int, at binary, once binary, again binary")
+    chunks = min(df.rdd.getNumPartitions(), MAX_TASKS) + n_keys // CHUNK + 1 if limit else 0
+    often = max(2, limit // chunks) if limit else 0
+    pieces = df.coalesce(MAX_TASKS).mapInArrow(_Build(keys, bits, often), "segment int, at binary, once binary, again binary")
     merged = pieces.groupBy("segment").applyInPandas(_merge, "segment int, again binary")
-    out = np.zeros(bits // 8, np.uint8)
+    out, frequent = np.zeros(bits // 8, np.uint8), np.zeros(0, np.uint64)
     for row in merged.toLocalIterator():
-        out[row["segment"] * SEGMENT : (row["segment"] + 1) * SEGMENT] = np.frombuffer(row["again"], np.uint8)
-    return df.sparkSession.sparkContext.broadcast(out)
+        if row["segment"] < 0:
+            frequent = np.frombuffer(row["again"], np.uint64)
+        else:
+            out[row["segment"] * SEGMENT : (row["segment"] + 1) * SEGMENT] = np.frombuffer(row["again"], np.uint8)
+    return df.sparkSession.sparkContext.broadcast(out), frequent

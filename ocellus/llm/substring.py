@@ -83,22 +83,24 @@ class _Keys:
             yield anchors(bytes_of(batch, "text"), self.length)[1]
 
 
-PIECE = "anchor long, digest binary, doc_id long, start int, end int, piece binary"
+PIECE = "anchor long, digest long, doc_id long, start int, end int, piece binary"
 
 
-def _pieces(again, length: int):
-    """Rows of anchors that may repeat. A task gives the bytes of equal pieces once."""
+def _pieces(again, length: int, hot: np.ndarray, only_hot: bool):
+    """Rows of anchors that may repeat, of the hot ones or of all others. A task gives the bytes of equal pieces once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[bytes] = set()
+        told: set[int] = set()
         for whole in batches:
             for batch in parts(whole, most=SLICE):
                 texts, ids = bytes_of(batch, "text"), longs_of(batch, "doc_id")
                 text, h, _, lo, hi = anchors(texts, length)
                 ok = bloom.maybe_repeated(again.value, h)
+                if len(hot):
+                    ok &= np.isin(h, hot) == only_hot
                 text, h, lo, hi = text[ok], h[ok], lo[ok], hi[ok]
                 cut = [texts[t][a:b] for t, a, b in zip(text.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-                digests = [xxhash.xxh3_128_digest(x) for x in cut]
+                digests = [xxhash.xxh3_64_intdigest(x) for x in cut]
                 for k, d in enumerate(digests):
                     if d in told:
                         cut[k] = None
@@ -106,24 +108,23 @@ def _pieces(again, length: int):
                         told.add(d)
                 if len(told) > 500_000:
                     told.clear()
-                cols = [pa.array(h.view(np.int64)), pa.array(digests, pa.binary()), pa.array(ids[text], pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(cut, pa.binary())]
+                cols = [pa.array(h.view(np.int64)), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(ids[text], pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(cut, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["anchor", "digest", "doc_id", "start", "end", "piece"])
 
     return run
 
 
-def bundle_spans(anchor: np.ndarray, digest: list[bytes], doc: np.ndarray, start: np.ndarray, end: np.ndarray, piece: list[bytes | None], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bundle_spans(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, piece: list[bytes | None], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans to remove, of whole anchor groups: doc, start, end."""
-    number: dict[bytes, int] = {}
-    which = np.array([number.setdefault(d, len(number)) for d in digest])
-    times = dict(zip(*np.unique(anchor, return_counts=True), strict=True))
-    many = np.array([times[a] > 1 for a in anchor.tolist()])
+    which = np.unique(digest, return_inverse=True)[1]
+    _, at, times = np.unique(anchor, return_inverse=True, return_counts=True)
+    many = times[at] > 1
     order = np.lexsort((start, doc, which))
     first = np.r_[True, which[order][1:] != which[order][:-1]]
     lead = order[first]  # the earliest occurrence of each distinct piece
     later = order[~first]
     out = [(doc[later], start[later], end[later])]  # equal to an earlier piece from end to end
-    text: list[bytes] = [b""] * len(number)
+    text: list[bytes] = [b""] * (int(which.max()) + 1)
     for w, p in zip(which.tolist(), piece, strict=True):
         if p is not None:
             text[w] = p
@@ -159,7 +160,7 @@ def _bundles(length: int):
 
         def settle(rows: pa.Table) -> pa.RecordBatch:
             get = lambda c: rows.column(c).to_numpy()
-            d, s, e = bundle_spans(get("anchor"), rows.column("digest").to_pylist(), get("doc_id"), get("start"), get("end"), rows.column("piece").to_pylist(), length)
+            d, s, e = bundle_spans(get("anchor"), get("digest"), get("doc_id"), get("start"), get("end"), rows.column("piece").to_pylist(), length)
             return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["doc_id", "start", "end"])
 
         for whole in batches:
@@ -197,11 +198,11 @@ def _every_string(length: int):
     return run
 
 
-def _later(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
-    key = F.concat(*[F.col(k).cast("binary") if k == "digest" else F.hex(k).cast("binary") for k in keys])
+def _later(rows: DataFrame, key: F.Column) -> DataFrame:
+    """Rows whose key also occurs earlier."""
     rows = rows.withColumn("key", key)
     first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return join_hot(rows, first, "key", "n", total).where("doc_id != first.doc_id or start != first.start")
+    return join_hot(rows, first, "key", "n", rows.count()).where("doc_id != first.doc_id or start != first.start")
 
 
 def spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -212,19 +213,15 @@ def spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     strings are hashed and reduced to their earliest place before a shuffle, which is exact as well.
     """
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    again = bloom.repeated(rows, _Keys(length), size * 2 // (length - GRAM) + 1)
-    some = stage(rows.mapInArrow(_pieces(again, length), PIECE), "pieces")
-    total = some.count()
-    limit = max(MOST_OCCURRENCES, total // HOT_SHARE)
-    counts = some.groupBy("anchor").count().where(F.col("count") > limit).select("anchor")
-    hot = [r["anchor"] for r in counts.collect()]  # fewer than HOT_SHARE
-    plain = some.where(~F.col("anchor").isin(hot)) if hot else some
+    n = size * 2 // (length - GRAM) + 1
+    again, hot = bloom.repeated_and_frequent(rows, _Keys(length), n, max(MOST_OCCURRENCES, n // HOT_SHARE))
+    plain = rows.mapInArrow(_pieces(again, length, hot, False), PIECE)
     out = plain.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_bundles(length), SPAN)
-    if hot:
-        much = stage(some.where(F.col("anchor").isin(hot)), "hot")
-        equal = _later(much.drop("piece"), ["anchor", "digest"], total).select("doc_id", "start", "end")
+    if len(hot):
+        much = stage(rows.mapInArrow(_pieces(again, length, hot, True), PIECE), "hot")
+        equal = _later(much.drop("piece"), F.concat(F.hex("anchor"), F.hex("digest"))).select("doc_id", "start", "end")
         strings = stage(much.where("piece is not null").mapInArrow(_every_string(length), "digest binary, doc_id long, start int"), "strings")
-        same = _later(strings, ["digest"], strings.count()).select("doc_id", "start", (F.col("start") + length).alias("end"))
+        same = _later(strings, F.col("digest")).select("doc_id", "start", (F.col("start") + length).alias("end"))
         out = out.unionByName(equal).unionByName(same)
     return out
 
