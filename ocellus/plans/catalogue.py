@@ -472,7 +472,7 @@ def lbp_hist(spark, sf):
     f"WITH {PIXELS}, q AS (SELECT vec_id, i, least(7, greatest(0, floor((v - (-0.6::DOUBLE)) / 1.2::DOUBLE * 8)::INT)) AS l FROM x), "
     "p AS (SELECT a.vec_id, a.l AS a, b.l AS b FROM q a JOIN q b ON a.vec_id = b.vec_id AND b.i = a.i + 1 WHERE a.i % 8 < 7), "
     "s AS (SELECT vec_id, a, b FROM p UNION ALL SELECT vec_id, b, a FROM p), n AS (SELECT vec_id, a, b, count(*) / 112 AS p FROM s GROUP BY ALL) "
-    "SELECT vec_id, round(sum(p * (a - b) ** 2), 5) AS contrast, round(sum(p * abs(a - b)), 5) AS dissimilarity, round(sum(p / (1 + (a - b) ** 2)), 5) AS homogeneity, round(sum(p * p), 5) AS asm, round(sqrt(sum(p * p)), 5) AS energy FROM n GROUP BY vec_id"
+    "SELECT vec_id, round(sum(p * (a - b) ** 2), 9) AS contrast, round(sum(p * abs(a - b)), 9) AS dissimilarity, round(sum(p / (1 + (a - b) ** 2)), 9) AS homogeneity, round(sum(p * p), 9) AS asm, round(sqrt(sum(p * p)), 9) AS energy FROM n GROUP BY vec_id"
 )
 def glcm_stats(spark, sf):
     p = _patch(spark, sf).select("vec_id", patches.quantised("v", 8, -0.6, 0.6).alias("q")).select("vec_id", patches.pairs("q", 8).alias("p"))
@@ -480,7 +480,7 @@ def glcm_stats(spark, sf):
     p = p.withColumn("k", F.expr("concat(transform(p, t -> t.a * 8 + t.b), transform(p, t -> t.b * 8 + t.a))"))
     asm = F.expr("aggregate(transform(array_distinct(k), x -> pow(cast(size(filter(k, y -> y = x)) as double) / size(k), 2)), cast(0 as double), (acc, t) -> acc + t)")
     p = p.withColumn("asm", asm)
-    return p.select("vec_id", F.round(over("(t.a - t.b) * (t.a - t.b)"), 5).alias("contrast"), F.round(over("abs(t.a - t.b)"), 5).alias("dissimilarity"), F.round(over("1D / (1 + (t.a - t.b) * (t.a - t.b))"), 5).alias("homogeneity"), F.round("asm", 5).alias("asm"), F.round(F.sqrt("asm"), 5).alias("energy"))
+    return p.select("vec_id", F.round(over("(t.a - t.b) * (t.a - t.b)"), 9).alias("contrast"), F.round(over("abs(t.a - t.b)"), 9).alias("dissimilarity"), F.round(over("1D / (1 + (t.a - t.b) * (t.a - t.b))"), 9).alias("homogeneity"), F.round("asm", 9).alias("asm"), F.round(F.sqrt("asm"), 9).alias("energy"))
 
 
 @query(
@@ -646,3 +646,35 @@ def quality_windows(spark, sf):
     from ocellus.streaming.events import quality_windows as windows
 
     return windows(_read(spark, sf, "events")).withColumn("mean", F.round("mean", 6)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    "SELECT p_partkey, CASE WHEN p_size % 9 < 8 THEN [" + ", ".join(repr(x) for x in scalars.FAMILIES) + "][p_size % 9 + 1] ELSE 'other' END AS family, "
+    "coalesce(map {" + ", ".join(f"'{k}': '{v}'" for k, v in scalars.FAMILIES.items()) + "}[CASE WHEN p_size % 9 < 8 THEN [" + ", ".join(repr(x) for x in scalars.FAMILIES) + "][p_size % 9 + 1] ELSE 'other' END], 'image descriptor') AS description FROM part"
+)
+def feature_descriptions(spark, sf):
+    heads = F.array(*[F.lit(x) for x in (*scalars.FAMILIES, "odd")])
+    name = F.concat_ws("_", F.element_at(heads, (F.col("p_size") % 9 + 1).cast("int")), F.col("p_partkey").cast("string"))
+    return _read(spark, sf, "part").select("p_partkey", scalars.feature_family(name).alias("family"), scalars.describe_feature(name).alias("description"))
+
+
+@query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY user_id")
+def column_moments(spark, sf):
+    m = scalars.moments("value")
+    return _read(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.round(m["mean"], 6).alias("mean"), F.round(m["std"], 6).alias("std"))
+
+
+@query("SELECT o_orderkey, round_even(o_custkey / 8, 2) AS rounded FROM orders")
+def half_even_rounding(spark, sf):
+    return _read(spark, sf, "orders").select("o_orderkey", F.bround(F.col("o_custkey") / 8, 2).alias("rounded"))
+
+
+@query("SELECT substr(sha1('{\"k\":' || c_custkey || ',\"s\":\"' || c_mktsegment || '\"}'), 1, 12) AS signature, c_custkey FROM customer")
+def settings_signature(spark, sf):
+    return _read(spark, sf, "customer").select(scalars.signature(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("s")).alias("signature"), "c_custkey")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0.0::DOUBLE ELSE value END AS value FROM events")
+def finite_values(spark, sf):
+    odd = F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return _read(spark, sf, "events").select("event_id", scalars.finite(odd).alias("value"))
