@@ -25,16 +25,16 @@ class Adapter:
         return next((there[c.strip().lower()] for c in candidates if c.strip().lower() in there), None)
 
 
-#: Column and file names of the public data sets.
+#: Column names, file names and name patterns of the public data sets.
 ADAPTERS = {
     a.name: a
     for a in (
-        Adapter("aptos", ("id_code", "image_id", "image"), ("diagnosis", "grade"), ("train.csv",)),
-        Adapter("eyepacs", ("image", "image_id"), ("level", "grade"), ("trainLabels.csv", "labels.csv"), r"(\d+)_(?:left|right)"),
-        Adapter("messidor2", ("image_id", "image", "id_code"), ("adjudicated_dr_grade", "diagnosis", "grade"), ("messidor_data.csv",)),
-        Adapter("idrid", ("Image name", "image_id"), ("Retinopathy grade", "grade"), ("labels.csv",)),
-        Adapter("generic", ("image_id", "image", "id", "filename", "file", "id_code"), ("grade", "label", "level", "diagnosis", "severity"), ("labels.csv", "train.csv")),
-        Adapter("synthetic", ("image_id",), ("grade",), ("labels.csv",), r"(p\d+)_(?:left|right)"),
+        Adapter("aptos", ("id_code", "image", "image_id", "id"), ("diagnosis", "level", "grade", "dr_grade"), ("train.csv", "train_1.csv")),
+        Adapter("eyepacs", ("image", "id_code", "image_id"), ("level", "diagnosis", "grade"), ("trainLabels.csv", "trainLabels_cropped.csv"), r"^(\d+)_(?:left|right)$"),
+        Adapter("messidor2", ("image_id", "image", "id", "id_code"), ("adjudicated_dr_grade", "dr_grade", "retinopathy grade", "grade", "diagnosis"), ("messidor_data.csv", "messidor-2.csv"), r"^(.*?)_[A-Za-z]*\d*$"),
+        Adapter("idrid", ("image name", "image_name", "image", "id_code"), ("retinopathy grade", "grade", "dr_grade", "diagnosis"), ("IDRiD_Disease_Grading_Training_Labels.csv", "a. IDRiD_Disease Grading_Training Labels.csv")),
+        Adapter("generic", ("image_id", "id_code", "image", "filename", "file", "name", "id"), ("grade", "diagnosis", "level", "label", "dr_grade", "class"), ("labels.csv",)),
+        Adapter("synthetic", ("image_id",), ("grade",), ("labels.csv",), r"^(P\d+)_(?:left|right)$"),
     )
 }
 
