@@ -15,6 +15,8 @@ MOST = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
 #: Most percent of lines with a word that may equal an earlier line, and of their bytes.
 MOST_LINES, MOST_LINE_BYTES = 30, 20
 MIN_WORDS, MOST_REPEAT_WORDS = 50, 50
+#: Bytes of text measured at once, about: some twenty arrays of eight bytes for each.
+SLICE = 1_000_000
 _SYMBOLS = b"#*$%&|<>"
 
 
@@ -80,7 +82,7 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
     bounds of MOST, or repeated lines pass MOST_LINES or MOST_LINE_BYTES. Null and empty texts have zeros and fail. A null doc_id
     comes back null; repeated rows are measured alike; an empty table gives no rows.
     """
-    return slim(docs).mapInArrow(per_batch(_measure), MEASURES).withColumn("doc_id", public_id())
+    return slim(docs).mapInArrow(per_batch(_measure, SLICE), MEASURES).withColumn("doc_id", public_id())
 
 
 def passes(text: F.Column) -> F.Column:
@@ -92,7 +94,7 @@ def passes(text: F.Column) -> F.Column:
         out, at, size = [], 0, 0
         for k, t in enumerate(texts):
             size += len(t)
-            if size > 4_000_000 or k == len(texts) - 1:
+            if size > SLICE or k == len(texts) - 1:
                 out.append(measure(texts[at : k + 1])["kept"])
                 at, size = k + 1, 0
         return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
