@@ -24,3 +24,30 @@ def test_stages(spark, docs, none):
     assert last.count() == now.count() and last.where(~F.col("parity")).count() == 0
     for _, step in cp.STAGES:
         assert step(spark, none, "").count() == 0
+
+
+def test_first_stages_against_brute_force(spark, docs, rows):
+    from test_dedup import key, lines_of, simhash_of
+    from test_text import brute_rules
+
+    kept = [(i, t) for i, t in rows if brute_rules(t)["kept"]]
+    lines = [(i, w[3]) for (i, _), w in zip(kept, lines_of(kept), strict=True)]
+    prints = [simhash_of(t) for _, t in lines]
+    reach = [key(i) for i, _ in lines]
+    while True:
+        new = [min(reach[b] for b in range(len(lines)) if bin(prints[a] ^ prints[b]).count("1") <= 3) for a in range(len(lines))]
+        if new == reach:
+            break
+        reach = new
+    want: dict = {}
+    for (i, t), c in zip(lines, reach, strict=True):
+        if key(i) == c:
+            want[i] = min(want.get(i, t), t)
+    now = docs
+    for _, step in cp.STAGES[:3]:
+        now = cp.stage(step(spark, now, ""), "brute")
+    assert Counter((r.doc_id, r.text) for r in now.collect()) == Counter(want.items())
+    words = sum(len(t.split()) for t in want.values())
+    mixed = cp.mix(spark, now, "").collect()
+    assert abs(sum(len(r.text.split()) for r in mixed) - 1.5 * words) <= 64 * 6
+    assert all(set(r.text.split()) <= set(want[r.doc_id].split()) for r in mixed)
