@@ -17,7 +17,7 @@ BLOCK = 64  # words
 SLOTS = 4096  # blocks of an output shard
 MOST_SHARDS = 1024
 #: Documents of a layout bucket, about.
-BUCKET = 20_000
+BUCKET = 4_000
 
 
 def targets(sizes: list[int], weights=WEIGHTS, share: float = SHARE, most: float = MOST_TIMES) -> list[float]:
@@ -156,7 +156,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken: one row for each document."""
         by_doc = self.pieces().groupBy("doc_id", "copy").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
-        rows = self.layout.join(by_doc, ["doc_id", "copy"], "left").join(F.broadcast(self.sources), "src")
+        rows = self.layout.join(by_doc, ["doc_id", "copy"], "left").join(self.sources, "src")
         return rows.select(public_id(), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
     def documents(self) -> DataFrame:
