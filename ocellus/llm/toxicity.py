@@ -40,11 +40,11 @@ class Sparse:
     value: np.ndarray
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        sums = np.r_[0.0, np.cumsum(self.value * w[self.index])]
-        return sums[self.start[1:]] - sums[self.start[:-1]]
+        each = np.append(self.value * w.astype(np.float32)[self.index], np.float32(0))
+        return np.where(np.diff(self.start) > 0, np.add.reduceat(each, self.start[:-1]), 0).astype(np.float64) if len(self.start) > 1 else np.zeros(0)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, self.value * np.repeat(g, np.diff(self.start)), DIMENSIONS)
+        return np.bincount(self.index, self.value * np.repeat(g.astype(np.float32), np.diff(self.start)), DIMENSIONS)
 
     def take(self, rows: np.ndarray) -> Sparse:
         n = np.diff(self.start)[rows]
@@ -62,9 +62,8 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def weighted(start: np.ndarray, index: np.ndarray, value: np.ndarray, idf: np.ndarray) -> Sparse:
-    v = value * idf[index]
-    sq = np.r_[0.0, np.cumsum(v * v)]
-    norm = np.sqrt(np.maximum(sq[start[1:]] - sq[start[:-1]], 1e-12))
+    v = value.astype(np.float32) * idf.astype(np.float32)[index]
+    norm = np.sqrt(np.maximum(Sparse(start, index, v * v).dot(np.ones(DIMENSIONS)), 1e-12)).astype(np.float32)
     return Sparse(start, index, v / np.repeat(norm, np.diff(start)))
 
 
@@ -134,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
         if not some:
             return None
         index = [np.frombuffer(r["index"], np.int32) for r in some]
-        sets.append((np.r_[0, np.cumsum([len(x) for x in index])], np.concatenate(index), np.concatenate([np.frombuffer(r["value"], np.float32) for r in some]).astype(np.float64)))
+        sets.append((np.r_[0, np.cumsum([len(x) for x in index])], np.concatenate(index), np.concatenate([np.frombuffer(r["value"], np.float32) for r in some])))
+    del got, some, index
     texts, prior = len(sets[1][0]) - 1, toxic / n
     found = np.bincount(sets[1][1], minlength=DIMENSIONS)
     idf = np.where(found >= LEAST_SHARE * texts, np.log((1 + texts) / (1 + found)) + 1, 0.0)
