@@ -6,11 +6,9 @@ Each stage takes (spark, docs, sf_dir) and is written as Parquet and read again
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
-from ocellus.llm import line_dedup, mixing, repetition, simhash, spm
-from ocellus.llm.common import NULL_ID, stage, unused
+from ocellus.llm import line_dedup, mixing, near_copies, repetition, spm
+from ocellus.llm.common import stage
 
 ORACLE_SQL = None  # the mix and the tokens have no SQL
 
@@ -26,13 +24,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id; of rows that repeat it, the one with the smallest text."""
-    kept = simhash.near_dedup(docs).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id")).distinct()
-    key, rank = unused("id_key", docs.columns), unused("id_rank", docs.columns)
-    rows = docs.withColumn(key, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)))
-    got = rows.join(kept.withColumnRenamed("id", key).hint("shuffle_hash"), key, "left_semi")
-    ranked = got.withColumn(rank, F.row_number().over(W.partitionBy(key).orderBy(F.col("text").asc_nulls_last())))
-    return ranked.where(F.col(rank) == 1).select(*docs.columns)
+    """Of each group of near copies (five words, Jaccard similarity 0.8 or more) the row with the smallest doc_id; of rows of the
+    group that repeat it, the one with the smallest text."""
+    return near_copies.survivors(docs, shingle=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +39,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return spm.encode(docs)
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("SimHash near-dedup", near), ("mixing", mix), ("SentencePiece", tokens)]
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near-dedup", near), ("mixing", mix), ("SentencePiece", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
