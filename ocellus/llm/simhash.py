@@ -138,14 +138,15 @@ class _Cell:
             g, h = np.nonzero(close)
             if not len(g):
                 continue
-            while True:  # labels of those that share a partner become one
+            while True:  # those that share a partner get one root; only roots are hooked, so no earlier merge is cut
+                root = self.label[h]
                 least = np.full(len(some), len(self.own))
-                np.minimum.at(least, g, self.label[h])
-                before = self.label.copy()
-                np.minimum.at(self.label, h, least[g])
-                self.label = np.minimum(self.label, self.label[self.label])
-                if (before == self.label).all():
+                np.minimum.at(least, g, root)
+                if (root == least[g]).all():
                     break
+                np.minimum.at(self.label, root, least[g])
+                while ((up := self.label[self.label]) != self.label).any():
+                    self.label = up
             first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
             self.out.append((some[g[first]], self.own[h[first]]))
 
