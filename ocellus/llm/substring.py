@@ -87,7 +87,7 @@ PIECE = "anchor long, digest long, doc_id long, start int, end int, piece binary
 
 
 def _pieces(again, length: int, hot: np.ndarray, only_hot: bool):
-    """Rows of anchors that may repeat, of the hot ones or of all others. A task gives the bytes of equal pieces once."""
+    """Rows of anchors that may repeat, of the hot ones or of all others. A task gives the bytes of equal pieces once, in any row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
@@ -219,8 +219,10 @@ def spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     out = plain.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_bundles(length), SPAN)
     if len(hot):
         much = stage(rows.mapInArrow(_pieces(again, length, hot, True), PIECE), "hot")
-        equal = _later(much.drop("piece"), F.concat(F.hex("anchor"), F.hex("digest"))).select("doc_id", "start", "end")
-        strings = stage(much.where("piece is not null").mapInArrow(_every_string(length), "digest binary, doc_id long, start int"), "strings")
+        equal = _later(much.drop("piece"), F.col("digest")).select("doc_id", "start", "end")
+        # a row with the bytes need not be the piece's earliest: its strings count from the earliest place
+        lead = much.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("piece", ignorenulls=True).alias("piece"))
+        strings = stage(lead.select("first.*", "piece").mapInArrow(_every_string(length), "digest binary, doc_id long, start int"), "strings")
         same = _later(strings, F.col("digest")).select("doc_id", "start", (F.col("start") + length).alias("end"))
         out = out.unionByName(equal).unionByName(same)
     return out
