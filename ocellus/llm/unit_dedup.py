@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,26 +15,44 @@ from . import bloom
 from .common import bytes_of, cut_spans, join_hot, longs_of, per_batch, parts, slim, stage
 
 MIN_WORDS, MIN_BYTES = 5, 24
+#: A unit of so many bytes counts whatever its words: not all scripts have blanks, and codes, addresses and tables have few.
+LONG = 60
+#: Stops that need no space after them, with the closing marks that follow.
+_WIDE = re.compile("(?:。|！|？|｡|．)+(?:」|』|”|’|）|〉|》|】)*".encode())
+
+
+def _sentences(line: bytes) -> list[tuple[int, bytes]]:
+    """Offset and bytes of what lies between a line's stops."""
+    out: list[tuple[int, bytes]] = []
+    at = 0
+    wide = not line.isascii() and _WIDE.search(line)
+    for piece in line.replace(b". ", b".\n").replace(b"! ", b"!\n").replace(b"? ", b"?\n").split(b"\n"):
+        cut = 0
+        for stop in _WIDE.finditer(piece) if wide else ():
+            out.append((at + cut, piece[cut : stop.end()]))
+            cut = stop.end()
+        if cut < len(piece) or not cut:
+            out.append((at + cut, piece[cut:]))
+        at += len(piece) + 1
+    return out
 
 
 def units(text: bytes, min_words: int, min_bytes: int) -> Iterator[tuple[bytes, int, int]]:
     """(digest, start, end) of each line, and of each sentence of a line that has several; offsets are bytes of ``text``.
 
-    A sentence ends at . ! or ? before a space. Units are compared with A-Z lower-cased and runs of white space as one space.
+    A sentence ends at . ! or ? before a space, or at a full-width stop. Units are compared with A-Z lower-cased and runs of white
+    space as one space. A unit has ``min_bytes`` bytes, and ``min_words`` words or LONG bytes.
     """
     low = text.lower()
     at = 0
     for line in low.split(b"\n"):
-        marked = line.replace(b". ", b".\n").replace(b"! ", b"!\n").replace(b"? ", b"?\n")
-        pieces = marked.split(b"\n") if len(line) > min_bytes else ()
+        pieces = _sentences(line) if len(line) > min_bytes else ()
         if len(pieces) > 1:
-            here = at
-            for p in pieces:
-                if len(p) >= min_bytes and len(words := p.split()) >= min_words:
-                    s = here + len(p) - len(p.lstrip())
-                    yield xxhash.xxh3_128_digest(b" ".join(words)), s, here + len(p.rstrip())
-                here += len(p) + 1
-        if len(line) >= min_bytes and len(words := line.split()) >= min_words:
+            for here, p in pieces:
+                if len(p) >= min_bytes and (len(words := p.split()) >= min_words or len(p.strip()) >= LONG):
+                    s = at + here + len(p) - len(p.lstrip())
+                    yield xxhash.xxh3_128_digest(b" ".join(words)), s, at + here + len(p.rstrip())
+        if len(line) >= min_bytes and (len(words := line.split()) >= min_words or len(line.strip()) >= LONG):
             yield xxhash.xxh3_128_digest(b" ".join(words)), at + len(line) - len(line.lstrip()), at + len(line.rstrip())
         at += len(line) + 1
 
@@ -70,7 +89,7 @@ def _candidates(again, min_words: int, min_bytes: int):
 def unit_dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Remove every line and sentence that also occurs earlier (smaller doc_id, then smaller offset) in the corpus.
 
-    Units under ``min_words`` words or ``min_bytes`` bytes are left alone. Returns for each row doc_id, n_bytes, spans (maximal
+    Units under ``min_bytes`` bytes, or under both ``min_words`` words and LONG bytes, are left alone. Returns for each row doc_id, n_bytes, spans (maximal
     removed runs as byte offsets of the original UTF-8 text) and kept (the bytes that stay). A null text is empty and loses
     nothing. A null doc_id ranks first. Rows that repeat a doc_id share its spans only where their units are at the same
     offsets: identical rows are treated alike, and the first occurrence stays in each. An empty table gives no rows.
