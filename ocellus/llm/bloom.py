@@ -22,7 +22,8 @@ SEGMENT = 8192  # bytes
 CHUNK = 1 << 20  # keys
 #: Tasks that build; more partitions are read by fewer tasks, so a segment meets a bounded number of pieces.
 MAX_TASKS = 1024
-MOST_FREQUENT = 1000
+#: Frequent keys are looked for above this share of all keys, or a rarer one: so at most twice as many are gathered.
+FREQUENT_SHARE = 1 << 16
 
 
 def n_bits(n_keys: int) -> int:
@@ -65,17 +66,20 @@ def _add(once: np.ndarray, again: np.ndarray, keys: np.ndarray, bits: int) -> No
 
 
 class _Build:
-    def __init__(self, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int, often: int):
-        self.keys, self.bits, self.often = keys, bits, often
+    def __init__(self, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int, often: int, buckets: int):
+        self.keys, self.bits, self.often, self.buckets = keys, bits, often, buckets
 
     def _frequent(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Keys that one chunk holds ``often``, with their counts, as a piece of no segment."""
+        """Keys that one chunk holds ``often``, with their counts, as pieces of no segment: dealt to ``buckets`` by key."""
         if self.often:
             s = np.sort(keys)
             if len(s) > self.often and (s[self.often :] == s[: -self.often]).any():
                 k, n = np.unique(s, return_counts=True)
                 ok = n > self.often
-                yield _piece(-1, b"", k[ok].tobytes(), n[ok].astype(np.int64).tobytes())
+                k, n = k[ok], n[ok].astype(np.int64)
+                bucket = (k % np.uint64(self.buckets)).astype(np.int64)
+                for x in np.unique(bucket).tolist():
+                    yield _piece(-1 - x, b"", k[bucket == x].tobytes(), n[bucket == x].tobytes())
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, again = np.zeros(self.bits // 8, np.uint8), np.zeros(self.bits // 8, np.uint8)
@@ -105,12 +109,18 @@ def _piece(segment: int, at: bytes, once: bytes, again: bytes) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), *(pa.array([x], pa.binary()) for x in (at, once, again))], names=["segment", "at", "once", "again"])
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    if pdf["segment"].iloc[0] < 0:
+def _merger(limit: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["segment"].iloc[0] >= 0:
+            return _merge(pdf)
         keys, at = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["once"]]), return_inverse=True)
         n = np.bincount(at, np.concatenate([np.frombuffer(x, np.int64) for x in pdf["again"]])).astype(np.int64)
-        top = np.argsort(-n, kind="stable")[:MOST_FREQUENT]
-        return pd.DataFrame({"segment": [-1], "again": [keys[top].tobytes()]})
+        return pd.DataFrame({"segment": [-1], "again": [keys[2 * n > limit].tobytes()]})
+
+    return run
+
+
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     once, again = np.zeros(SEGMENT, np.uint8), np.zeros(SEGMENT, np.uint8)
     for at, o, a in zip(pdf["at"], pdf["once"], pdf["again"], strict=True):
         i = np.frombuffer(at, np.uint16) if len(at) else slice(None)
@@ -125,18 +135,30 @@ def repeated(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray
     return repeated_and_frequent(df, keys, n_keys, 0)[0]
 
 
+def among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """True for each key that is in ``some``, which is sorted."""
+    if not len(some):
+        return np.zeros(len(keys), bool)
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
+
+
 def repeated_and_frequent(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], n_keys: int, limit: int) -> tuple[Broadcast, np.ndarray]:
-    """The bitmap, and at most MOST_FREQUENT keys, among them those that occur over ``limit`` times: such a key must make up more
-    than its even share of some task's chunk, and only such keys are counted."""
+    """The bitmap and, sorted, the keys that occur over 1.5 * limit times, with some of those over half the limit.
+
+    ``limit`` is n_keys / FREQUENT_SHARE at least, so fewer than 2 * FREQUENT_SHARE keys (1 MB) are gathered, whatever the input. A key
+    over the limit makes up more than its even share of some task's chunk; only such keys are counted, in buckets by key.
+    """
     bits = n_bits(n_keys)
+    limit = limit and max(limit, n_keys // FREQUENT_SHARE)
     chunks = min(df.rdd.getNumPartitions(), MAX_TASKS) + n_keys // CHUNK + 1 if limit else 0
     often = max(2, limit // chunks) if limit else 0
-    pieces = df.coalesce(MAX_TASKS).mapInArrow(_Build(keys, bits, often), "segment int, at binary, once binary, again binary")
-    merged = pieces.groupBy("segment").applyInPandas(_merge, "segment int, again binary")
-    out, frequent = np.zeros(bits // 8, np.uint8), np.zeros(0, np.uint64)
+    buckets = min(max(16, chunks // 8), 1 << 16)
+    pieces = df.coalesce(MAX_TASKS).mapInArrow(_Build(keys, bits, often, buckets), "segment int, at binary, once binary, again binary")
+    merged = pieces.groupBy("segment").applyInPandas(_merger(limit), "segment int, again binary")
+    out, frequent = np.zeros(bits // 8, np.uint8), [np.zeros(0, np.uint64)]
     for row in merged.toLocalIterator():
         if row["segment"] < 0:
-            frequent = np.frombuffer(row["again"], np.uint64)
+            frequent.append(np.frombuffer(row["again"], np.uint64))
         else:
             out[row["segment"] * SEGMENT : (row["segment"] + 1) * SEGMENT] = np.frombuffer(row["again"], np.uint8)
-    return df.sparkSession.sparkContext.broadcast(out), frequent
+    return df.sparkSession.sparkContext.broadcast(out), np.sort(np.concatenate(frequent))

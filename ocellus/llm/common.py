@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,6 +31,12 @@ def slim(docs: DataFrame) -> DataFrame:
     )
 
 
+def known_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row, text. ``row`` is a digest of the text: rows that share a doc_id, null ones too, are told apart by it, so no row's
+    spans or lines reach another row. Rows equal in both are one document."""
+    return slim(docs).select("doc_id", F.xxhash64("text").alias("row"), "text")
+
+
 def public_id(name: str = "doc_id") -> F.Column:
     """The id as the caller knows it: NULL_ID is null again."""
     return F.when(F.col(name) != NULL_ID, F.col(name)).alias(name)
@@ -46,26 +54,54 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only where the cluster names none, one of our own is set."""
     got = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master: {master})")
         got = f"{tempfile.gettempdir()}/checkpoints"
     return got.rstrip("/")
 
 
+#: Tables staged inside each open ``staging`` block.
+_OPEN: list[list[DataFrame]] = []
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation."""
+    """Cut lineage: write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation.
+
+    The table is removed at the end of the ``staging`` block that it was made in, by ``discard``, or when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    system, where = _at(spark, path)
+    system.deleteOnExit(where)
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a staged table that no later result reads."""
-    spark, path = df.sparkSession, df._staged_at
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that no later result reads."""
+    for df in tables:
+        system, where = _at(df.sparkSession, df._staged_at)
+        system.delete(where, True)
+
+
+@contextlib.contextmanager
+def staging() -> Iterator[None]:
+    """Tables staged inside are removed at the end: what is to stay must have been written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        discard(*_OPEN.pop())
 
 
 def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int) -> DataFrame:
@@ -141,18 +177,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Remove byte spans from texts. ``rows``: doc_id, text. ``spans``: doc_id, start, end in UTF-8 bytes, overlapping or not.
+    """Remove byte spans from texts. ``rows``: doc_id, row, text (``known_rows``). ``spans``: doc_id, row, start, end in UTF-8 bytes,
+    overlapping or not.
 
-    Returns doc_id, n_bytes, spans (maximal removed runs, original offsets) and kept (the bytes that stay), one row for each
-    row of ``rows``. The spans of one document are what is gathered, never more than its own size.
+    Returns doc_id (null again where it was), n_bytes, spans (maximal removed runs, original offsets) and kept (the bytes that stay; a
+    cut may fall inside a code point), one row for each row of ``rows``. The spans of one text are what is gathered, never more than
+    its own size.
     """
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return rows.join(by_doc.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_cut, CUT)
+    by_row = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    cut = rows.join(by_row.hint("shuffle_hash"), ["doc_id", "row"], "left").mapInArrow(_cut, CUT)
+    return cut.withColumn("doc_id", public_id())
 
 
 def span_digest(cut: DataFrame) -> DataFrame:
     return cut.select(
-        public_id(),
+        "doc_id",
         "n_bytes",
         F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"])).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),

@@ -34,8 +34,7 @@ def components(links: DataFrame) -> DataFrame:
         pairs = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         then = stage(pairs.where("u != v").distinct(), "small")
         is_now = _state(then)
-        for old in (both, large, now):
-            discard(old)
+        discard(both, large, now)
         now = then
         if is_now == was:
             break

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import HOT_SHARE, NULL_ID, bytes_of, join_hot, per_batch, parts, slim, stage, unused
+from .common import NULL_ID, bytes_of, join_hot, per_batch, parts, slim, stage, unused
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -81,7 +81,7 @@ def _sets(again, hot: np.ndarray, shingle: int, similarity: float):
                     told.add(node)
                     some = found[rest]
                     if len(hot):
-                        some = some[np.argsort(np.isin(some, hot), kind="stable")]
+                        some = some[np.argsort(bloom.among(some, hot), kind="stable")]
                     out.append((node, n, many, some[:send].view(np.int64), found.view(np.int64)))
                 if len(told) > 500_000:
                     told.clear()
@@ -119,7 +119,7 @@ def links(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = size // 6 + 1
-    again, hot = bloom.repeated_and_frequent(texts, _Keys(shingle), n, max(CELL, n // HOT_SHARE**2))
+    again, hot = bloom.repeated_and_frequent(texts, _Keys(shingle), n, CELL)
     told = stage(texts.mapInArrow(_sets(again, hot, shingle, similarity), "node long, n int, many int, tokens array<long>, found array<long>"), "told")
     held = told.select("node", "n", "many", F.explode("tokens").alias("token")).distinct()
     whole = F.struct("node", "n", "many")

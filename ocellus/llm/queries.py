@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, licenses, line_dedup, mixing, repetition, simhash, spm, substring, toxicity, unit_dedup
-from .common import documents, public_id, span_digest
+from .common import documents, span_digest
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = line_dedup.line_dedup(documents(spark, sf_dir))
-    return got.select(public_id(), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return got.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,18 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom, bwt
-from .common import HOT_SHARE, bytes_of, cut_spans, join_hot, longs_of, parts, slim, stage
-from .rolling import BYTE, Prefix
+from .common import bytes_of, cut_spans, join_hot, known_rows, longs_of, parts, stage
+from .rolling import BYTE, Prefix, mix
 
 LENGTH = 100
 GRAM = 32
-#: Text of a bundle that one Burrows-Wheeler transform takes, about; and occurrences of an anchor that are compared in one.
+#: Text of a bundle that one Burrows-Wheeler transform takes, about; and most occurrences of an anchor that go into one.
 BUNDLE, MOST_OCCURRENCES = 1_500_000, 50_000
+#: An anchor with more occurrences, or one in FREQUENT_SHARE of all anchors, is known before the pieces are dealt, and spread.
+HOT = 5_000
 SLICE = 1_000_000
 
 
@@ -83,21 +86,21 @@ class _Keys:
             yield anchors(bytes_of(batch, "text"), self.length)[1]
 
 
-PIECE = "anchor long, digest long, doc_id long, start int, end int, piece binary"
+PLACE = ["doc_id", "row", "start"]
+PIECE = "deal long, spread boolean, digest long, doc_id long, row long, start int, end int, piece binary"
 
 
-def _pieces(again, length: int, hot: np.ndarray, only_hot: bool):
-    """Rows of anchors that may repeat, of the hot ones or of all others. A task gives the bytes of equal pieces once, in any row."""
+def _pieces(again, hot, length: int):
+    """Pieces around anchors that may repeat, dealt by anchor; those of hot anchors are spread by their place. A task gives the bytes
+    of equal pieces once, in any row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
         for whole in batches:
             for batch in parts(whole, most=SLICE):
-                texts, ids = bytes_of(batch, "text"), longs_of(batch, "doc_id")
+                texts, ids, rows = bytes_of(batch, "text"), longs_of(batch, "doc_id"), longs_of(batch, "row")
                 text, h, _, lo, hi = anchors(texts, length)
                 ok = bloom.maybe_repeated(again.value, h)
-                if len(hot):
-                    ok &= np.isin(h, hot) == only_hot
                 text, h, lo, hi = text[ok], h[ok], lo[ok], hi[ok]
                 cut = [texts[t][a:b] for t, a, b in zip(text.tolist(), lo.tolist(), hi.tolist(), strict=True)]
                 digests = [xxhash.xxh3_64_intdigest(x) for x in cut]
@@ -108,21 +111,30 @@ def _pieces(again, length: int, hot: np.ndarray, only_hot: bool):
                         told.add(d)
                 if len(told) > 500_000:
                     told.clear()
-                cols = [pa.array(h.view(np.int64)), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(ids[text], pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(cut, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "digest", "doc_id", "start", "end", "piece"])
+                spread = bloom.among(h, hot.value)
+                deal = np.where(spread, mix(rows[text].view(np.uint64) + lo.astype(np.uint64)), h).view(np.int64)
+                digests = np.array(digests, np.uint64).view(np.int64)
+                cols = [deal, spread, digests, ids[text], rows[text], lo.astype(np.int32), hi.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(cut, pa.binary())], names=["deal", "spread", "digest", *PLACE, "end", "piece"])
 
     return run
 
 
-def bundle_spans(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, piece: list[bytes | None], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans to remove, of whole anchor groups: doc, start, end."""
+def bundle_spans(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, piece: list[bytes | None], length: int) -> tuple[np.ndarray, ...]:
+    """Spans to remove, of whole anchor groups: doc, row, start, end."""
+    order = np.lexsort((row, doc))
+    new = np.r_[True, (doc[order][1:] != doc[order][:-1]) | (row[order][1:] != row[order][:-1])]
+    docs, rows = doc[order][new], row[order][new]
+    doc = np.empty(len(order), np.int64)  # from here on a text's rank by doc_id and row
+    doc[order] = np.cumsum(new) - 1
     which = np.unique(digest, return_inverse=True)[1]
     _, at, times = np.unique(anchor, return_inverse=True, return_counts=True)
     many = times[at] > 1
     order = np.lexsort((start, doc, which))
     first = np.r_[True, which[order][1:] != which[order][:-1]]
     lead = order[first]  # the earliest occurrence of each distinct piece
-    later = order[~first]
+    of = lead[np.cumsum(first) - 1]
+    later = order[(doc[order] != doc[of]) | (start[order] != start[of])]  # not so the pieces of a row that is there twice
     out = [(doc[later], start[later], end[later])]  # equal to an earlier piece from end to end
     text: list[bytes] = [b""] * (int(which.max()) + 1)
     for w, p in zip(which.tolist(), piece, strict=True):
@@ -145,39 +157,62 @@ def bundle_spans(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray, start:
             new = np.r_[True, (d[1:] != d[:-1]) | (s[1:] > s[:-1] + length)] if len(d) else np.zeros(0, bool)
             a = np.flatnonzero(new)
             out.append((d[a], s[a], s[np.r_[a[1:] - 1, len(d) - 1]] + length if len(d) else s))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    d, s, e = (np.concatenate(x) for x in zip(*out, strict=True))
+    return docs[d], rows[d], s, e
 
 
-SPAN = "doc_id long, start int, end int"
+#: A span, where digest is null; else a piece whose strings are yet to be compared.
+SPAN = "doc_id long, row long, start int, end int, digest long, piece binary"
 
 
-def _bundles(length: int):
-    """Rows come sorted by anchor."""
+def _bundles(length: int, most: int):
+    """Rows come sorted by ``deal``. Memory is bounded by BUNDLE and ``most`` rows, whatever a group's size: pieces of groups with
+    more, like those that are spread, come out as they are."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+    def spans(rows: pa.Table) -> pa.RecordBatch:
+        get = lambda c: rows.column(c).to_numpy()
+        found = bundle_spans(get("deal"), get("digest"), *(get(c) for c in PLACE), get("end"), rows.column("piece").to_pylist(), length)
+        none = [pa.nulls(len(found[0]), pa.int64()), pa.nulls(len(found[0]), pa.binary())]
+        return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(found, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)), *none], names=[*PLACE, "end", "digest", "piece"])
 
-        def settle(rows: pa.Table) -> pa.RecordBatch:
-            get = lambda c: rows.column(c).to_numpy()
-            d, s, e = bundle_spans(get("anchor"), get("digest"), get("doc_id"), get("start"), get("end"), rows.column("piece").to_pylist(), length)
-            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["doc_id", "start", "end"])
+    def pieces(rows: pa.RecordBatch | pa.Table) -> Iterator[pa.RecordBatch]:
+        out = rows.select([*PLACE, "end", "digest", "piece"])
+        yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = n = 0
+        large = None  # a group that came out as it is, and may go on
         for whole in batches:
+            apart = whole.column("spread")
+            if apart.true_count:
+                yield from pieces(whole.filter(apart))
+                whole = whole.filter(pc.invert(apart))
             for at in range(0, len(whole), 5000):
                 batch = whole.slice(at, 5000)
+                if large is not None:
+                    more = int((batch.column("deal").to_numpy() == large).sum())
+                    if more:
+                        yield from pieces(batch.slice(0, more))
+                        batch = batch.slice(more)
+                    if not len(batch):
+                        continue
+                    large = None
                 held.append(batch)
-                size += batch.column(5).nbytes
-                if size > BUNDLE:
+                size, n = size + batch.column("piece").nbytes, n + len(batch)
+                if size > BUNDLE or n > most:
                     rows = pa.Table.from_batches(held)
-                    keys = rows.column("anchor").to_numpy()
+                    keys = rows.column("deal").to_numpy()
                     cut = int(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[-1])  # the last group may go on
                     if cut:
-                        yield settle(rows.slice(0, cut))
-                        held = rows.slice(cut).combine_chunks().to_batches()
-                        size = sum(x.column(5).nbytes for x in held)
+                        yield spans(rows.slice(0, cut))
+                    held, size, n = rows.slice(cut).combine_chunks().to_batches(), 0, len(rows) - cut
+                    if n > most:
+                        yield from pieces(rows.slice(cut))
+                        held, n, large = [], 0, keys[-1]
+                    size = sum(x.column("piece").nbytes for x in held)
         if held:
-            yield settle(pa.Table.from_batches(held))
+            yield spans(pa.Table.from_batches(held))
 
     return run
 
@@ -185,47 +220,52 @@ def _bundles(length: int):
 def _every_string(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 2000):
-                batch = whole.slice(at, 2000)
-                digests, docs, starts = [], [], []
-                for doc, start, piece in zip(longs_of(batch, "doc_id").tolist(), longs_of(batch, "start").tolist(), bytes_of(batch, "piece"), strict=True):
+            for k in range(0, len(whole), 2000):
+                batch = whole.slice(k, 2000)
+                digests, at, starts = [], [], []
+                for k, (start, piece) in enumerate(zip(longs_of(batch, "start").tolist(), bytes_of(batch, "piece"), strict=True)):
                     n = len(piece) - length + 1
                     digests += [xxhash.xxh3_128_digest(piece[i : i + length]) for i in range(n)]
-                    docs += [doc] * n
+                    at += [k] * n
                     starts += range(start, start + n)
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32())], names=["digest", "doc_id", "start"])
+                at = np.array(at, np.int64)
+                cols = [pa.array(digests, pa.binary()), *(pa.array(longs_of(batch, c)[at]) for c in ("doc_id", "row")), pa.array(starts, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["digest", *PLACE])
 
     return run
 
 
-def _later(rows: DataFrame, key: F.Column) -> DataFrame:
-    """Rows whose key also occurs earlier."""
-    rows = rows.withColumn("key", key)
-    first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return join_hot(rows, first, "key", "n", rows.count()).where("doc_id != first.doc_id or start != first.start")
+def _later(rows: DataFrame) -> DataFrame:
+    """Rows whose digest also occurs earlier."""
+    place = F.struct(*PLACE)
+    first = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return join_hot(rows, first, "digest", "n", rows.count()).where(place != F.col("first"))
 
 
 def spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Spans doc_id, start, end (bytes, overlapping) of all strings of ``length`` bytes that also start earlier. ``rows``: doc_id, text.
+    """Spans doc_id, row, start, end (bytes, overlapping) of all strings of ``length`` bytes that also start earlier. ``rows``: doc_id,
+    row, text.
 
     Anchors are counted in a Bloom filter; pieces around those that may repeat are dealt by anchor, and each bundle of anchor groups
-    goes through one Burrows-Wheeler transform. An anchor with over MOST_OCCURRENCES pieces is spread instead: its pieces'
-    strings are hashed and reduced to their earliest place before a shuffle, which is exact as well.
+    goes through one Burrows-Wheeler transform. Anchors with very many pieces are parted by the longest gram there is, the string
+    itself: equal pieces are reduced to the earliest, whose strings are hashed and grouped, which is exact as well. Such anchors are
+    told from the filter's counts, and spread (HOT); what those miss shows when a group passes MOST_OCCURRENCES.
     """
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = size * 2 // (length - GRAM) + 1
-    again, hot = bloom.repeated_and_frequent(rows, _Keys(length), n, max(MOST_OCCURRENCES, n // HOT_SHARE))
-    plain = rows.mapInArrow(_pieces(again, length, hot, False), PIECE)
-    out = plain.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_bundles(length), SPAN)
-    if len(hot):
-        much = stage(rows.mapInArrow(_pieces(again, length, hot, True), PIECE), "hot")
-        equal = _later(much.drop("piece"), F.col("digest")).select("doc_id", "start", "end")
-        # a row with the bytes need not be the piece's earliest: its strings count from the earliest place
-        lead = much.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("piece", ignorenulls=True).alias("piece"))
-        strings = stage(lead.select("first.*", "piece").mapInArrow(_every_string(length), "digest binary, doc_id long, start int"), "strings")
-        same = _later(strings, F.col("digest")).select("doc_id", "start", (F.col("start") + length).alias("end"))
-        out = out.unionByName(equal).unionByName(same)
-    return out
+    again, hot = bloom.repeated_and_frequent(rows, _Keys(length), size * 2 // (length - GRAM) + 1, HOT)
+    sent = rows.sparkSession.sparkContext.broadcast(hot)
+    dealt = rows.mapInArrow(_pieces(again, sent, length), PIECE).repartition("deal").sortWithinPartitions("deal")
+    got = stage(dealt.mapInArrow(_bundles(length, MOST_OCCURRENCES), SPAN), "bundles")
+    out = got.where("digest is null").select(*PLACE, "end")
+    much = got.where("digest is not null")
+    if much.isEmpty():
+        return out
+    equal = _later(much.drop("piece")).select(*PLACE, "end")
+    # a row with the bytes need not be the piece's earliest: its strings count from the earliest place
+    lead = much.groupBy("digest").agg(F.min(F.struct(*PLACE)).alias("first"), F.first("piece", ignorenulls=True).alias("piece"))
+    strings = stage(lead.select("first.*", "piece").mapInArrow(_every_string(length), "digest binary, doc_id long, row long, start int"), "strings")
+    same = _later(strings).select(*PLACE, (F.col("start") + length).alias("end"))
+    return out.unionByName(equal).unionByName(same)
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -233,8 +273,10 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     document before it. Overlaps count; strings are judged on the input.
 
     Returns for each row doc_id, n_bytes, spans (maximal removed runs as byte offsets of the UTF-8 text) and kept (the bytes that
-    stay). A null text is empty. Texts under ``length`` bytes lose nothing. A null doc_id ranks first and comes back null. Rows
-    that repeat a doc_id count as one place, so equal rows don't remove each other. An empty table gives no rows.
+    stay). A null text is empty. Texts under ``length`` bytes lose nothing. A null doc_id ranks first and comes back null. Rows with
+    one doc_id, or none, and different texts are documents of their own, ranked by a digest of the text; rows equal in both are one
+    document, so they don't remove each other. Very long texts are read whole, though a task holds one with some twenty times its
+    size; all other columns are left out, whatever their names. An empty table gives no rows.
     """
-    rows = slim(docs)
+    rows = known_rows(docs)
     return cut_spans(rows, spans(rows, length))

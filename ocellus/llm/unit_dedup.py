@@ -1,4 +1,4 @@
-"""Substring dedup by line and sentence hashing: the earliest ranked occurrence of a unit stays."""
+"""Substring dedup by hashing paragraphs, lines, and the sentences of lines: the earliest ranked occurrence of a unit stays."""
 
 from __future__ import annotations
 
@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import bytes_of, cut_spans, join_hot, longs_of, per_batch, parts, slim, stage
+from .common import bytes_of, cut_spans, join_hot, known_rows, longs_of, parts, per_batch, stage
 
-MIN_WORDS, MIN_BYTES = 5, 24
+#: Shorter units are common turns of phrase: of 6 000 texts, 39 % of the unrelated ones lose some with 5 words and 24 bytes, 6 % with these.
+MIN_WORDS, MIN_BYTES = 13, 40
 #: A unit of so many bytes counts whatever its words: not all scripts have blanks, and codes, addresses and tables have few.
-LONG = 60
+LONG = 80
 #: Stops that need no space after them, with the closing marks that follow.
 _WIDE = re.compile("(?:。|！|？|｡|．)+(?:」|』|”|’|）|〉|》|】)*".encode())
 
@@ -38,22 +39,37 @@ def _sentences(line: bytes) -> list[tuple[int, bytes]]:
 
 
 def units(text: bytes, min_words: int, min_bytes: int) -> Iterator[tuple[bytes, int, int]]:
-    """(digest, start, end) of each line, and of each sentence of a line that has several; offsets are bytes of ``text``.
+    """(digest, start, end) of each paragraph of several lines, of each line, and of each sentence of a line that has several; offsets
+    are bytes of ``text``.
 
-    A sentence ends at . ! or ? before a space, or at a full-width stop. Units are compared with A-Z lower-cased and runs of white
-    space as one space. A unit has ``min_bytes`` bytes, and ``min_words`` words or LONG bytes.
+    Paragraphs lie between lines without a word. A sentence ends at . ! or ? before a space, or at a full-width stop. Units are compared
+    with A-Z lower-cased and runs of white space as one space. A unit has ``min_bytes`` bytes, and ``min_words`` words or LONG bytes.
     """
     low = text.lower()
     at = 0
-    for line in low.split(b"\n"):
-        pieces = _sentences(line) if len(line) > min_bytes else ()
-        if len(pieces) > 1:
-            for here, p in pieces:
-                if len(p) >= min_bytes and (len(words := p.split()) >= min_words or len(p.strip()) >= LONG):
-                    s = at + here + len(p) - len(p.lstrip())
-                    yield xxhash.xxh3_128_digest(b" ".join(words)), s, at + here + len(p.rstrip())
-        if len(line) >= min_bytes and (len(words := line.split()) >= min_words or len(line.strip()) >= LONG):
-            yield xxhash.xxh3_128_digest(b" ".join(words)), at + len(line) - len(line.lstrip()), at + len(line.rstrip())
+    held: list[bytes] = []  # lines of the paragraph so far
+    first = last = n = 0
+    for line in [*low.split(b"\n"), b""]:
+        words = line.split()
+        if not words:
+            if len(held) > 1 and last - first >= min_bytes and (n >= min_words or last - first >= LONG):
+                yield xxhash.xxh3_128_digest(b" ".join(held)), first, last
+            held, n = [], 0
+            at += len(line) + 1
+            continue
+        plain = b" ".join(words)
+        start, end = at + len(line) - len(line.lstrip()), at + len(line.rstrip())
+        if not held:
+            first = start
+        held.append(plain)
+        last, n = end, n + len(words)
+        if end - start >= min_bytes and (len(words) >= min_words or end - start >= LONG):
+            pieces = _sentences(line)
+            if len(pieces) > 1:
+                for here, p in pieces:
+                    if len(p) >= min_bytes and (len(w := p.split()) >= min_words or len(p.strip()) >= LONG):
+                        yield xxhash.xxh3_128_digest(b" ".join(w)), at + here + len(p) - len(p.lstrip()), at + here + len(p.rstrip())
+            yield xxhash.xxh3_128_digest(plain), start, end
         at += len(line) + 1
 
 
@@ -67,37 +83,41 @@ class _Keys:
             yield np.frombuffer(got, np.uint64)
 
 
-UNIT = "digest binary, doc_id long, start int, end int"
+UNIT = "digest binary, doc_id long, row long, start int, end int"
 
 
 def _candidates(again, min_words: int, min_bytes: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digests, docs, starts, ends = [], [], [], []
-        for doc, text in zip(longs_of(batch, "doc_id").tolist(), bytes_of(batch, "text"), strict=True):
+        digests, at, starts, ends = [], [], [], []
+        for k, text in enumerate(bytes_of(batch, "text")):
             for d, s, e in units(text, min_words, min_bytes):
                 digests.append(d)
-                docs.append(doc)
+                at.append(k)
                 starts.append(s)
                 ends.append(e)
         ok = bloom.maybe_repeated(again.value, np.frombuffer(b"".join(d[:8] for d in digests), np.uint64))
-        cols = [pa.array(digests, pa.binary()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
-        return pa.RecordBatch.from_arrays(cols, names=["digest", "doc_id", "start", "end"]).filter(pa.array(ok))
+        at = np.array(at, np.int64)
+        cols = [pa.array(digests, pa.binary()), *(pa.array(longs_of(batch, c)[at]) for c in ("doc_id", "row")), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+        return pa.RecordBatch.from_arrays(cols, names=["digest", "doc_id", "row", "start", "end"]).filter(pa.array(ok))
 
     return per_batch(run)
 
 
 def unit_dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Remove every line and sentence that also occurs earlier (smaller doc_id, then smaller offset) in the corpus.
-
-    Units under ``min_bytes`` bytes, or under both ``min_words`` words and LONG bytes, are left alone. Returns for each row doc_id, n_bytes, spans (maximal
-    removed runs as byte offsets of the original UTF-8 text) and kept (the bytes that stay). A null text is empty and loses
-    nothing. A null doc_id ranks first. Rows that repeat a doc_id share its spans only where their units are at the same
-    offsets: identical rows are treated alike, and the first occurrence stays in each. An empty table gives no rows.
+    """Remove every paragraph, line and sentence that also occurs earlier in the corpus: in a smaller doc_id, then in a row whose
+    digest is smaller, then at a smaller offset.
+
+    Units under ``min_bytes`` bytes, or under both ``min_words`` words and LONG bytes, are left alone. Returns for each row doc_id,
+    n_bytes, spans (maximal removed runs as byte offsets of the original UTF-8 text) and kept (the bytes that stay). A null text is
+    empty and loses nothing. A null doc_id ranks first and comes back null. Rows with one doc_id, or none, and different texts are
+    documents of their own; rows equal in both are one document, and what it keeps stays in each. Very long texts are read whole, one
+    slice at a time; all other columns are left out, whatever their names. An empty table gives no rows.
     """
-    rows = slim(docs)
+    rows = known_rows(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     again = bloom.repeated(rows, _Keys(min_words, min_bytes), size // 50 + 1)
     some = stage(rows.mapInArrow(_candidates(again, min_words, min_bytes), UNIT), "units")
-    first = some.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = join_hot(some, first, "digest", "n", some.count()).where("doc_id != first.doc_id or start != first.start")
-    return cut_spans(rows, later.select("doc_id", "start", "end"))
+    place = F.struct("doc_id", "row", "start")
+    first = some.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = join_hot(some, first, "digest", "n", some.count()).where(place != F.col("first"))
+    return cut_spans(rows, later.select("doc_id", "row", "start", "end"))

@@ -1,6 +1,9 @@
 """Exact, line, unit, substring and near dedup against brute force on one awkward corpus."""
 
 import hashlib
+import itertools
+import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -49,7 +52,7 @@ def lines_of(rows):
     for i, t in rows:
         ls = (t or "").split("\n")
         stay = [x for x in ls if not (line_key(x) and len(held[line_key(x)]) >= 3 and max(held[line_key(x)]) != key(i))]
-        out.append((key(i), len(ls), len(ls) - len(stay), "\n".join(stay)))
+        out.append((i, len(ls), len(ls) - len(stay), "\n".join(stay)))
     return out
 
 
@@ -67,12 +70,17 @@ def test_drop_lines_keeps_columns(docs, rows):
     assert all(r.n_chars == len(r.text or "") for r in got)
 
 
+def place(i, t):
+    """Ranks a row: by doc_id, then by the signed 64-bit digest of its text."""
+    return key(i), (xxhash.xxh64_intdigest((t or "").encode(), 42) + 2**63) % 2**64 - 2**63
+
+
 def removed(rows, spans):
     out = []
     for i, t in rows:
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
-        for s, e in spans(key(i), b):
+        for s, e in spans(place(i, t), b):
             gone[s:e] = True
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         out.append((i, len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum()), hashlib.sha256(kept).hexdigest()))
@@ -83,50 +91,108 @@ def digest(df):
     return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in span_digest(df).collect())
 
 
-def test_units(docs, rows):
+def plain_units(text, min_words, min_bytes):
+    """Normalised unit, start and end."""
+    spans, at = [], 0
+    for full, group in itertools.groupby(text.split(b"\n"), key=lambda x: bool(x.strip())):
+        lines = list(group)
+        ends = list(itertools.accumulate((len(x) + 1 for x in lines), initial=at))
+        if full:
+            spans += [(a, b - 1) for a, b in itertools.pairwise(ends)]
+            spans += [(at, ends[-1] - 1)] * (len(lines) > 1)
+            for a, b in itertools.pairwise(ends):
+                cuts = [a, *(a + x.start() + 1 for x in re.finditer(rb"[.!?] ", text[a : b - 1])), b - 1]
+                spans += list(itertools.pairwise(cuts)) if len(cuts) > 2 else []
+        at = ends[-1]
+    out = []
+    for a, b in spans:
+        x = text[a:b]
+        s, e = a + len(x) - len(x.lstrip()), a + len(x.rstrip())
+        if e - s >= min_bytes and (len(x.split()) >= min_words or e - s >= 80):
+            out.append((b" ".join(x.lower().split()), s, e))
+    return out
+
+
+def units_removed(rows, least=(13, 40)):
     first = {}
-    for i, t in sorted(rows, key=lambda r: key(r[0])):
-        for d, s, _ in unit_dedup.units((t or "").encode(), 5, 24):
-            first[d] = min(first.get(d, (key(i), s)), (key(i), s))
-    want = removed(rows, lambda i, b: [(s, e) for d, s, e in unit_dedup.units(b, 5, 24) if first[d] != (i, s)])
-    assert digest(unit_dedup.unit_dedup(docs)) == want
+    for i, t in rows:
+        for d, s, _ in plain_units((t or "").encode(), *least):
+            first[d] = min(first.get(d, (*place(i, t), s)), (*place(i, t), s))
+    return removed(rows, lambda at, b: [(s, e) for d, s, e in plain_units(b, *least) if first[d] != (*at, s)])
+
+
+def test_units(docs, rows):
+    assert digest(unit_dedup.unit_dedup(docs)) == units_removed(rows)
+
+
+def shared_ids():
+    """One id, or none, for different texts, of which some repeat passages; and equal rows."""
+    rng = random.Random(11)
+    prose = lambda n: " ".join(f"t{rng.randrange(5000)}" for _ in range(n))
+    passage = prose(40)
+    rows = [(5, f"{prose(20)}\n{passage}\n{prose(20)}"), (5, f"{prose(60)}\n{prose(30)}"), (None, f"{passage}\n{prose(10)}"), (None, prose(30)), (None, prose(200)), (None, None)]
+    rows += [(5, f"{prose(3)}\n{passage}"), (6, f"{passage}\n{passage}"), (None, rows[3][1]), (2, rows[1][1]), (2, ""), (5, rows[0][1]), (7, f"{prose(5)}\n\n{rows[1][1]}\n\n{prose(5)}")]
+    return rows
+
+
+def test_rows_that_share_an_id(spark):
+    """No row loses what only another row of its id repeats."""
+    rows = shared_ids()
+    df = spark.createDataFrame([(t, i, "x") for i, t in rows], "text string, doc_id long, row string").repartition(3)
+    assert digest(unit_dedup.unit_dedup(df)) == units_removed(rows)
+    assert digest(substring.substring_dedup(df)) == substrings(rows)
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.line_dedup(df).collect())
+    assert got == Counter(lines_of(rows))
+    assert line_dedup.drop_lines(df).columns == ["text", "doc_id", "row"]
 
 
 def test_unit_offsets():
-    text = b"One two three four five six. Seven eight nine ten eleven twelve!\n  a line of its own, long enough "
+    text = b"One two three four five six. Seven eight nine ten eleven twelve!\n  a line of its own, long enough \n \nand one that is another paragraph"
     found = [text[s:e] for _, s, e in unit_dedup.units(text, 5, 20)]
-    assert found == [b"One two three four five six.", b"Seven eight nine ten eleven twelve!", text.split(b"\n")[0], b"a line of its own, long enough"]
+    one, two, _, three = text.split(b"\n")
+    assert found == [b"One two three four five six.", b"Seven eight nine ten eleven twelve!", one, two.strip(), text[: text.index(b" \n")], three]
 
 
 def substrings(rows, n=100):
     first = {}
-    for i, t in sorted(rows, key=lambda r: key(r[0])):
-        b = (t or "").encode()
+    for i, t in rows:
+        b, at = (t or "").encode(), place(i, t)
         for s in range(len(b) - n + 1):
             x = b[s : s + n]
-            first[x] = min(first.get(x, (key(i), s)), (key(i), s))
-    return removed(rows, lambda i, b: [(s, s + n) for s in range(len(b) - n + 1) if first[b[s : s + n]] != (i, s)])
+            first[x] = min(first.get(x, (*at, s)), (*at, s))
+    return removed(rows, lambda at, b: [(s, s + n) for s in range(len(b) - n + 1) if first[b[s : s + n]] != (*at, s)])
 
 
 def test_substrings(docs, rows):
     assert digest(substring.substring_dedup(docs)) == substrings(rows)
 
 
-def test_substrings_of_hot_anchors(spark, monkeypatch):
-    """The way for anchors with very many pieces gives the same."""
-    monkeypatch.setattr(substring, "MOST_OCCURRENCES", 3)
-    monkeypatch.setattr(substring, "HOT_SHARE", 10**9)
-    monkeypatch.setattr(bloom, "CHUNK", 64)
+def hot_rows():
     rng = np.random.default_rng(1)
     noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
     shared = noise(90)
-    rows = [(k, noise(40) + shared + (noise(40) if k % 3 else "same tail " * 8)) for k in range(60)]
+    return [(k, noise(40) + shared + (noise(40) if k % 3 else "same tail " * 8)) for k in range(60)]
+
+
+def test_substrings_of_hot_anchors(spark, monkeypatch):
+    """The way for anchors with very many pieces gives the same."""
+    monkeypatch.setattr(substring, "HOT", 3)
+    monkeypatch.setattr(bloom, "CHUNK", 64)
+    rows = hot_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     _, hot = bloom.repeated_and_frequent(df, substring._Keys(100), 200, 3)
     assert len(hot)
     assert digest(substring.substring_dedup(df)) == substrings(rows)
 
 
+def test_substrings_of_large_groups(spark, monkeypatch):
+    """So does the way for groups that turn out too large for a bundle."""
+    monkeypatch.setattr(substring, "MOST_OCCURRENCES", 20)
+    rows = hot_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert digest(substring.substring_dedup(df)) == substrings(rows)
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_transform_finds_all_repeats(seed):
     rng = np.random.default_rng(seed)

@@ -7,8 +7,7 @@ from ocellus.llm import bloom, substring
 
 
 def test_hot_anchors_in_descending_order(spark, monkeypatch):
-    monkeypatch.setattr(substring, "MOST_OCCURRENCES", 3)
-    monkeypatch.setattr(substring, "HOT_SHARE", 10**9)
+    monkeypatch.setattr(substring, "HOT", 3)
     monkeypatch.setattr(bloom, "CHUNK", 64)
     rng = np.random.default_rng(1)
     noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))

@@ -14,8 +14,8 @@ def test_repeats_without_blanks(spark):
     rows = [(1, LINE), (2, f"頭\n{LINE}\n尾"), (3, f"短い。{SENTENCE}{other}"), (4, f"別の。{SENTENCE}終わり"), (5, ADDRESS), (6, f"see\n{ADDRESS}\n"), (7, "短い。"), (8, "短い。")]
     gone = {2: LINE, 4: SENTENCE, 6: ADDRESS}
 
-    def spans(i, b):
-        x = gone.get(i, "").encode()
+    def spans(at, b):
+        x = gone.get(at[0], "").encode()
         return [(b.index(x), b.index(x) + len(x))] if x else []
 
     df = spark.createDataFrame(rows, "doc_id long, text string")
