@@ -16,6 +16,8 @@ WEIGHTS, SHARE, MOST_TIMES = (3, 1, 2), 1.5, 2
 BLOCK = 64  # words
 SLOTS = 4096  # blocks of an output shard
 MOST_SHARDS = 1024
+#: Slots of one row of the plan, and of one task that deals them.
+RANGE, TASK = 16_384, 250_000
 #: Documents of a layout bucket, about.
 BUCKET = 4_000
 
@@ -101,17 +103,21 @@ def _text(docs: DataFrame) -> Column:
 
 
 def _keys(docs: DataFrame) -> list[Column]:
-    """same: equal for equal texts, so that rows that share a doc_id are told apart."""
-    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc_id"), _source(docs).alias("src"), F.xxhash64(_text(docs)).alias("same")]
+    """same: equal for equal texts of one source, so that rows that share a doc_id, null ones too, are told apart."""
+    src = _source(docs)
+    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc_id"), src.alias("src"), F.xxhash64(_text(docs), src).alias("same")]
 
 
 def _numbered(rows: DataFrame, unique: bool) -> DataFrame:
-    """copy: numbers the rows of a doc_id; equal rows are interchangeable."""
-    return rows.withColumn("copy", F.lit(1) if unique else F.row_number().over(W.partitionBy("doc_id").orderBy("src", "same")))
+    """copy: numbers rows that are equal in id, source and text, which are interchangeable."""
+    return rows.withColumn("copy", F.lit(1) if unique else F.row_number().over(W.partitionBy("doc_id", "same").orderBy("src")))
+
+
+KEY = ["doc_id", "same", "copy"]
 
 
 class Mix:
-    """A mix of documents. ``layout``: doc_id, copy, src, size, start (its first word's place in its source).
+    """A mix of documents. ``layout``: doc_id, same, copy, src, size, start (its first word's place in its source).
     ``sources``: src, source_size, target, n_blocks, quota. ``slots``: src, block, shard, slot, round (how often the source has been
     gone through). Two quantities are gathered on the driver: the table of sources, and sources times output shards (at most
     MOST_SHARDS); neither grows with the documents.
@@ -122,15 +128,15 @@ class Mix:
         self.docs, self.block = docs, block
         rows = stage(docs.select(*_keys(docs), _text(docs).alias("text")).mapInArrow(_sizes, "doc_id long, src string, same long, size long"), "sizes")
         total = rows.count()
-        self.unique = rows.select("doc_id").distinct().count() == total
-        rows = _numbered(rows, self.unique).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // BUCKET))))
+        self.unique = rows.select("doc_id", "same").distinct().count() == total
+        rows = _numbered(rows, self.unique).withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(max(1, total // BUCKET))))
         # places in two steps: inside a bucket, and of the buckets of a source; no window holds a source's rows
-        inside = W.partitionBy("src", "bucket").orderBy("doc_id", "copy").rowsBetween(W.unboundedPreceding, -1)
+        inside = W.partitionBy("src", "bucket").orderBy(*KEY).rowsBetween(W.unboundedPreceding, -1)
         per_bucket = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
         before = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
         buckets = stage(per_bucket.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))), "buckets")
         placed = rows.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(buckets.select("src", "bucket", "base"), ["src", "bucket"])
-        self.layout = stage(placed.select("doc_id", "copy", "src", "same", "size", (F.col("start") + F.col("base")).alias("start")), "layout")
+        self.layout = stage(placed.select(*KEY, "src", "size", (F.col("start") + F.col("base")).alias("start")), "layout")
         got = buckets.groupBy("src").agg(F.sum("words").alias("size")).orderBy("src").collect()
         sizes = [r["size"] for r in got]
         wanted = targets(sizes, weights, share)
@@ -140,33 +146,37 @@ class Mix:
         first = np.cumsum(plan, axis=0) - plan
         self.sources = spark.createDataFrame([(r["src"], r["size"], t, int(n), int(q)) for r, t, n, q in zip(got, wanted, n_blocks, quota, strict=True)], "src string, source_size long, target double, n_blocks long, quota long")
         shards = [(r["src"], k, j, int(n_blocks[k]), int(first[j, k]), int(plan[j, k])) for k, r in enumerate(got) for j in range(n_shards) if plan[j, k]]
-        plan_df = spark.createDataFrame(shards, "src string, k int, shard int, n_blocks long, first long, n long").repartition("src", "shard")
-        dealt = plan_df.select("src", "k", "shard", "n_blocks", F.posexplode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot", "at"))
-        self.slots = dealt.mapInArrow(_blocks(seed), "src string, block long, shard int, slot int, round long")
+        # the plan is small, so the number of its partitions is stated: as many as the slots need
+        tasks = int(min(max(1, -(-quota.sum() // TASK)), 20_000))
+        plan_df = spark.createDataFrame(shards, "src string, k int, shard int, n_blocks long, first long, n long")
+        ranges = plan_df.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RANGE).cast("long")))).repartition(tasks, "src", "shard", "lo")
+        slot = F.explode(F.sequence("lo", F.least(F.col("lo") + RANGE, "n") - 1))
+        dealt = ranges.select("src", "k", "shard", "n_blocks", "first", slot.alias("slot")).select("src", "k", "shard", "n_blocks", "slot", (F.col("first") + F.col("slot")).alias("at"))
+        self.slots = dealt.mapInArrow(_blocks(seed), "src string, block long, shard int, slot long, round long")
 
     def pieces(self) -> DataFrame:
-        """Each word range of a document that the mix takes: doc_id, copy, src, block, shard, slot, round, word_from, word_to."""
+        """Each word range of a document that the mix takes: doc_id, same, copy, src, block, shard, slot, round, word_from, word_to."""
         b = self.block
         spread = self.layout.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
         joined = spread.join(self.slots, ["src", "block"])
         lo = F.greatest(F.col("block") * b - F.col("start"), F.lit(0))
         hi = F.least((F.col("block") + 1) * b - F.col("start"), F.col("size"))
-        return joined.select("doc_id", "copy", "src", "block", "shard", "slot", "round", lo.alias("word_from"), hi.alias("word_to"))
+        return joined.select(*KEY, "src", "block", "shard", "slot", "round", lo.alias("word_from"), hi.alias("word_to"))
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken: one row for each document."""
-        by_doc = self.pieces().groupBy("doc_id", "copy").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
-        rows = self.layout.join(by_doc, ["doc_id", "copy"], "left").join(self.sources, "src")
+        by_doc = self.pieces().groupBy(*KEY).agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
+        rows = self.layout.join(by_doc, KEY, "left").join(self.sources, "src")
         return rows.select(public_id(), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
     def documents(self) -> DataFrame:
         """The mixed corpus, with the columns of the input: one row for each document and round, its text the words taken. Where the
         whole text is taken, it is as it was; else the taken runs are cut out as they stand and joined by a new line."""
-        spans = self.pieces().groupBy("doc_id", "copy", "round").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("spans"))
-        rounds = spans.groupBy("doc_id", "copy").agg(F.collect_list("spans").alias("rounds"))
+        spans = self.pieces().groupBy(*KEY, "round").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("spans"))
+        rounds = spans.groupBy(*KEY).agg(F.collect_list("spans").alias("rounds"))
         names = self.docs.columns
         full = self.docs.select(F.struct(*[self.docs[c] for c in names]).alias("row"), *_keys(self.docs))
-        rows = _numbered(full, self.unique).join(rounds.hint("shuffle_hash"), ["doc_id", "copy"])
+        rows = _numbered(full, self.unique).join(rounds.hint("shuffle_hash"), KEY)
         each = rows.select("row", F.explode("rounds").alias("spans"))
         text = _cut_words(F.col("row.text"), F.col("spans"))
         cut = each.select("row", text.alias("text"))
@@ -221,6 +231,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, block: int = BLO
     document, are packed into blocks of ``block`` words. Shards of SLOTS blocks draw how many each source gives; a source's slots
     go through pseudorandom permutations of its blocks, one for each round, so that no block is taken a third time before all
     have been taken twice. Null and empty texts have no words and are never taken. A null doc_id is an id below all others and
-    comes back null; rows that repeat a doc_id are mixed apart. An empty table gives no rows. The same input gives the same mix.
+    comes back null; rows that repeat a doc_id are mixed apart. Very long texts are cut like others, by words. Other columns go through
+    ``documents`` as they are, whatever their names. An empty table gives no rows. The same input gives the same mix.
     """
     return Mix(docs, weights, share, block, seed)
