@@ -19,7 +19,9 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 SIDE = 17
 N_TILES = SIDE**4
 #: Most fingerprints of a tile that one cell compares with others; larger tiles are dealt to several cells.
-CELL = 4096
+CELL = 16_384
+#: Fingerprints that one task deals; bytes that it packs at a time; comparisons, and bytes read, of one task that compares.
+DEAL, PACK, TASK_PAIRS, TASK_BYTES = 65_536, 8_000_000, 2_000_000_000, 16_000_000
 _DIGITS = np.array([SIDE**3, SIDE**2, SIDE, 1])
 
 
@@ -81,38 +83,62 @@ def _owners(tile: int, steps: np.ndarray) -> np.ndarray:
 
 
 def _deal(cells, radius: int):
-    """Send each tile's fingerprints, packed, to its own cells and to the cells of the tiles that compare with it."""
+    """Send fingerprints, packed by tile, to their tile's cells and to the cells of the tiles that compare with it. A tile may come in
+    parts, from any tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = offsets(radius)
         of = cells.value
+        out: list[tuple[int, int, bool, bytes]] = []
+        size = 0
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
             tile = tiles(fp)
             order = np.argsort(tile, kind="stable")
             fp, tile = fp[order], tile[order]
             edge = np.r_[np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]), len(tile)]
-            out: list[tuple[int, int, bool, bytes]] = []
             for a, b in zip(edge[:-1], edge[1:], strict=True):
-                t, own = int(tile[a]), fp[a:b]
-                n = int(of[t])
-                part = (own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(n)
-                for c in range(n):
-                    mine = own[part == c].tobytes()
-                    if mine:
-                        out.append((t, c, False, mine))
-                        out += [(t, d, True, mine) for d in range(c)]
-                whole = own.tobytes()
-                out += [(o, c, True, whole) for o in _owners(t, steps).tolist() for c in range(of[o])]
-                if len(out) > 20_000:
-                    yield _pack(out)
-                    out = []
-            if out:
-                yield _pack(out)
+                for row in _sendings(int(tile[a]), fp[a:b], of, steps):
+                    out.append(row)
+                    size += len(row[3]) + 16
+                    if size > PACK:
+                        yield _pack(out)
+                        out, size = [], 0
+        if out:
+            yield _pack(out)
 
     return run
 
 
+def _sendings(t: int, own: np.ndarray, of: np.ndarray, steps: np.ndarray) -> Iterator[tuple[int, int, bool, bytes]]:
+    """(tile, cell, whether as a guest, fingerprints) of what a tile's fingerprints are compared in."""
+    n = int(of[t])
+    part = (own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(n)
+    for c in range(n):
+        mine = own[part == c].tobytes()
+        if mine:
+            yield t, c, False, mine
+            for d in range(c):
+                yield t, d, True, mine
+    whole = own.tobytes()
+    for o in _owners(t, steps).tolist():
+        for c in range(of[o]):
+            yield o, c, True, whole
+
+
+def planned(counts: np.ndarray, radius: int) -> tuple[int, int]:
+    """Comparisons, and bytes sent, for these numbers of fingerprints by tile."""
+    n = counts.reshape((SIDE,) * 4).astype(float)
+    cells = np.ceil(n / CELL)
+    pairs, sent = n * n / 2, n * (cells + 1) / 2
+    for d in offsets(radius):
+        here = tuple(slice(max(-x, 0), SIDE - max(x, 0)) for x in d)
+        there = tuple(slice(max(x, 0), SIDE - max(-x, 0)) for x in d)
+        pairs[here] += n[here] * n[there]
+        sent[here] += cells[here] * n[there]
+    return int(pairs.sum()), int(8 * sent.sum())
+
+
 def _pack(rows) -> pa.RecordBatch:
     tile, cell, guest, prints = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(tile, pa.int32()), pa.array(cell, pa.int32()), pa.array(guest, pa.bool_()), pa.array(prints, pa.binary())], names=["tile", "cell", "guest", "prints"])
@@ -200,12 +226,17 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark = prints.sparkSession
     tile = sum((F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))).cast("int") * int(_DIGITS[k]) for k in range(4)), F.lit(0))
     tiled = prints.select("fp", tile.alias("tile"))
-    cells = np.zeros(N_TILES, np.int32)  # N_TILES numbers, whatever the input
+    counts = np.zeros(N_TILES, np.int64)  # N_TILES numbers, whatever the input
     for row in tiled.groupBy("tile").count().toLocalIterator():
-        cells[row["tile"]] = -(-row["count"] // CELL)
-    sent = spark.sparkContext.broadcast(cells)
-    dealt = tiled.repartition("tile").select("fp").mapInArrow(_deal(sent, radius), "tile int, cell int, guest boolean, prints binary")
-    met = dealt.repartition("tile", "cell").sortWithinPartitions("tile", "cell", "guest")
+        counts[row["tile"]] = row["count"]
+    sent = spark.sparkContext.broadcast(-(-counts // CELL))
+    # both numbers of partitions follow the work, not the size of the few packed rows; a large tile is dealt by several tasks
+    total = int(counts.sum())
+    part = F.pmod(F.xxhash64("fp"), F.lit(-(-total // (DEAL << 8)) or 1))
+    dealt = tiled.repartition(-(-total // DEAL) or 1, "tile", part).select("fp").mapInArrow(_deal(sent, radius), "tile int, cell int, guest boolean, prints binary")
+    pairs, size = planned(counts, radius)
+    tasks = max(1, pairs // TASK_PAIRS, size // TASK_BYTES)
+    met = dealt.repartition(tasks, "tile", "cell").sortWithinPartitions("tile", "cell", "guest")
     return met.mapInArrow(_compare(radius), "u long, v long")
 
 
@@ -215,8 +246,9 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Words are ``[^\x20\x09-\x0D]+`` after A-Z are lower-cased; shingles are 3 words joined by a space, repeats included (fewer
     words: all of them; none: fingerprint zero). Fingerprints link at ``radius`` differing bits or fewer. Returns for each row doc_id,
     fingerprint (16 lower-case hex digits) and component_id, the smallest doc_id that links lead to, its own included. Null and
-    empty texts have no words. A null doc_id ranks below all others and comes back null, in component_id too. Repeated rows are one
-    node. An empty table gives no rows.
+    empty texts have no words. A null doc_id ranks below all others and comes back null, in component_id too. Rows that repeat a doc_id
+    are fingerprinted apart, and repeated rows are one node. Very long texts are read whole; all other columns are left out, whatever
+    their names. An empty table gives no rows.
     """
     rows = stage(slim(docs).mapInArrow(per_batch(_prints), "doc_id long, fp long"), "prints")
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")

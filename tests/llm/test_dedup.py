@@ -238,9 +238,12 @@ def test_near(docs, rows):
     assert got == want
 
 
-def test_links_over_cells(spark, monkeypatch):
-    """Many fingerprints a few bits apart, in tiles that are dealt to several cells."""
+@pytest.mark.parametrize(("deal", "load"), [(1 << 16, 16_000_000), (1, 4000)])
+def test_links_over_cells(spark, monkeypatch, deal, load):
+    """Many fingerprints a few bits apart, in tiles that are dealt to several cells, in parts, by several tasks."""
     monkeypatch.setattr(simhash, "CELL", 7)
+    monkeypatch.setattr(simhash, "DEAL", deal)
+    monkeypatch.setattr(simhash, "TASK_BYTES", load)
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 12, dtype=np.uint64)
     prints = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 12, dtype=np.uint64)) for _ in range(12)] + [base, rng.integers(0, 2**63, 200, dtype=np.uint64)])).view(np.int64)
@@ -257,6 +260,20 @@ def test_links_over_cells(spark, monkeypatch):
     assert [got.get(int(p), int(p)) for p in prints] == label.tolist()
 
 
+def test_planned_work():
+    """Comparisons and bytes as counted tile by tile."""
+    rng = np.random.default_rng(6)
+    counts = np.zeros(simhash.N_TILES, np.int64)
+    counts[simhash.tiles(rng.integers(0, 2**63, 3000, dtype=np.uint64))] = rng.integers(1, 9, 3000)
+    steps, at = simhash.offsets(3), np.flatnonzero(counts)
+    pairs, size = 0.0, 0
+    for t in at.tolist():
+        owners = simhash._owners(t, steps)
+        pairs += counts[t] ** 2 / 2 + counts[t] * counts[owners].sum()
+        size += 8 * counts[t] * (1 + np.count_nonzero(counts[owners]))
+    assert simhash.planned(counts, 3) == (int(pairs), size)
+
+
 def test_components_of_a_path(spark):
     n = 60
     links = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
