@@ -1,4 +1,5 @@
-"""Near copies by word shingles: all pairs of texts whose shingle sets have a Jaccard similarity, found exactly, and their groups."""
+"""Near copies by word shingles: SimHash fingerprints of the shingle sets are compared in tiles, and what lies further apart than the
+radius is found by shared rare shingles, so that all pairs with a Jaccard similarity are joined; and their groups."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bloom
+from . import bloom, simhash
 from .common import NULL_ID, bytes_of, join_hot, per_batch, parts, slim, stage, unused
 from .components import components
 
@@ -36,6 +37,12 @@ def shingles(text: bytes, shingle: int) -> np.ndarray:
     return np.unique((h ^ h >> np.uint64(32)) * _MIX)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the shingles' hashes."""
+    ones = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(found)).view(np.int64)[0])
+
+
 def _node(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
@@ -82,12 +89,12 @@ def _sets(again, hot: np.ndarray, shingle: int, similarity: float):
                     some = found[rest]
                     if len(hot):
                         some = some[np.argsort(bloom.among(some, hot), kind="stable")]
-                    out.append((node, n, many, some[:send].view(np.int64), found.view(np.int64)))
+                    out.append((node, fingerprint(found), n, many, some[:send].view(np.int64), found.view(np.int64)))
                 if len(told) > 500_000:
                     told.clear()
-                cols = list(zip(*out, strict=True)) if out else [()] * 5
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["node", "n", "many", "tokens", "found"])
+                cols = list(zip(*out, strict=True)) if out else [()] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["node", "fp", "n", "many", "tokens", "found"])
 
     return run
 
@@ -112,21 +119,35 @@ def _verified(pairs: DataFrame, told: DataFrame, similarity: float, label: str)
     return stage(both.where(F.col("both") + F.lit(1e-9) >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("both"))).select("u", "v"), label)
 
 
-def links(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def _alike(told: DataFrame, radius: int) -> DataFrame:
+    """Pairs u, v of sets whose fingerprints are equal or within the radius: of each fingerprint its least set is compared."""
+    nodes = told.select("node", "fp").distinct()
+    lead = stage(nodes.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("n")), "leads")
+    equal = join_hot(nodes, lead.where("n > 1"), "fp", "n", nodes.count()).where("node != lead").select(F.col("lead").alias("u"), F.col("node").alias("v"))
+    near = simhash.links(lead.select("fp"), radius).distinct()
+    for side in ("u", "v"):
+        near = near.join(lead.select(F.col("fp").alias(side), F.col("lead").alias(f"{side}_lead")), side).drop(side)
+    return equal.unionByName(near.select(F.least("u_lead", "v_lead").alias("u"), F.greatest("u_lead", "v_lead").alias("v")))
+
+
+def links(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = simhash.RADIUS) -> DataFrame:
     """Links (u, v) of shingle sets that join exactly those reachable by steps of the similarity or more. ``texts``: text, without nulls.
 
-    Each shingle's first and last set are compared with its others; then all pairs that these links leave apart.
+    Sets whose SimHash fingerprints are within ``radius`` bits are compared, by tiles. Most sets with the similarity are further apart, so
+    each shingle's first and last set are compared with its others; then all pairs that these links leave apart. Every pair is checked
+    by its exact similarity.
     """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = size // 6 + 1
     again, hot = bloom.repeated_and_frequent(texts, _Keys(shingle), n, CELL)
-    told = stage(texts.mapInArrow(_sets(again, hot, shingle, similarity), "node long, n int, many int, tokens array<long>, found array<long>"), "told")
+    told = stage(texts.mapInArrow(_sets(again, hot, shingle, similarity), "node long, fp long, n int, many int, tokens array<long>, found array<long>"), "told")
     held = told.select("node", "n", "many", F.explode("tokens").alias("token")).distinct()
     whole = F.struct("node", "n", "many")
     ends = held.groupBy("token").agg(F.min(whole).alias("least"), F.max(whole).alias("most"), F.count("*").alias("held")).where("held > 1")
     held = stage(join_hot(held, ends, "token", "held", held.count()), "held")
     star = held.select("node", "n", "many", F.explode(F.array("least", "most")).alias("end")).where("node != end.node").where(_fits("", "end.", similarity))
-    near = _verified(star.select(F.least("node", "end.node").alias("u"), F.greatest("node", "end.node").alias("v")), told, similarity, "star")
+    star = star.select(F.least("node", "end.node").alias("u"), F.greatest("node", "end.node").alias("v"))
+    near = _verified(star.unionByName(_alike(told, radius)), told, similarity, "star")
     label = components(near).withColumnRenamed("u", "node")
     held = held.drop("least", "most").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     held = stage(held, "labelled")

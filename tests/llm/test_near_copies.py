@@ -68,3 +68,14 @@ def test_near_stage_against_brute_force(spark, monkeypatch, cell):
     rows = near_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert Counter((r.doc_id, r.text) for r in cp.near(spark, df, "").collect()) == brute(rows)
+
+
+def test_tiles_give_pairs(spark):
+    """Sets within the radius are compared, whatever shingles they share."""
+    rows = [tuple(near_copies.shingles(t.encode(), 5) for t in ("a b c d e f g", "a b c d e f g h"))]
+    prints = {near_copies.fingerprint(x) for x in rows[0]}
+    assert len(prints) == 2
+    told = spark.createDataFrame([(k, p) for k, p in enumerate([7, 7, 5, 1 << 40, (1 << 40) + 7, -1])], "node long, fp long")
+    got = {(r.u, r.v) for r in near_copies._alike(told, 3).collect()}
+    assert got >= {(0, 1)} and {x for p in got for x in p} == {0, 1, 2, 3, 4}
+    assert all(bin([7, 7, 5, 1 << 40, (1 << 40) + 7][u] ^ [7, 7, 5, 1 << 40, (1 << 40) + 7][v]).count("1") <= 3 for u, v in got)
