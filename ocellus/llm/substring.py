@@ -18,10 +18,10 @@ from .rolling import BYTE, Prefix, mix
 LENGTH = 100
 GRAM = 32
 #: Text of a bundle that one Burrows-Wheeler transform takes, about; and most occurrences of an anchor that go into one.
-BUNDLE, MOST_OCCURRENCES = 1_500_000, 50_000
+BUNDLE, MOST_OCCURRENCES = 750_000, 50_000
 #: An anchor with more occurrences, or one in FREQUENT_SHARE of all anchors, is known before the pieces are dealt, and spread.
-HOT = 5_000
-SLICE = 1_000_000
+HOT = 50_000
+SLICE = 500_000
 
 
 def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
