@@ -124,12 +124,7 @@ def sample_groups(groups: DataFrame, budget: int, strategy: str = "prevalence",
     if strategy != "balanced":
         raise ValueError(f"unknown strategy {strategy!r}")
     # the turn of a group is its place among those of its worst grade, counted in the same two steps
-    graded = None
-    for (worst,) in h.select("worst").distinct().orderBy("worst").collect():  # the grades
-        part = running(h.where(F.col("worst") == worst), hash_bucket(F.col("h")), [F.col("h"), F.col("group")], {"turn": F.lit(1)})
-        graded = part if graded is None else graded.unionByName(part)
-    if graded is None:
-        return groups.select("group", "worst", "n")
+    graded = running(h, hash_bucket(F.col("h")), [F.col("h"), F.col("group")], {"turn": F.lit(1)}, by=("worst",))
     turns = graded.groupBy("turn").agg(F.sum("n").alias("n"))
     over = running(turns, F.floor(F.log2(F.col("turn").cast("double"))).cast("int"), [F.col("turn")], {"upto": F.col("n")})
     before = over.select("turn", (F.col("upto") - F.col("n")).alias("before")).where(F.col("before") < budget)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ocellus.functions.ordering import following, running, value_buckets
+from ocellus.functions.ordering import value_buckets
 from ocellus.functions.scalars import LABELS
 
 TINY = 1e-12
@@ -47,42 +48,40 @@ def qwk(df: DataFrame, labels=LABELS) -> DataFrame:
     return df.agg(kappa_columns(labels).alias("qwk"))
 
 
-def _by_label(df: DataFrame, labels) -> DataFrame:
-    """For each label: how often it is right (tp), true (nt) and predicted (np)."""
-    long = cells(df, labels=labels).select(F.explode(F.array(F.struct(F.col("y").alias("label"), F.col("n").alias("nt"), F.lit(0).cast("long").alias("np"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("tp")), F.struct(F.col("p").alias("label"), F.lit(0).cast("long").alias("nt"), F.col("n").alias("np"), F.lit(0).cast("long").alias("tp")))).alias("x")).select("x.*")
-    every = df.sparkSession.createDataFrame([(x,) for x in labels], "label int")
-    sums = long.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("nt", "np", "tp")])
-    return every.join(sums, "label", "left").na.fill(0)
+def _per_label(labels, n: Column) -> tuple[Column, Column]:
+    """Balanced accuracy and macro F1, as aggregates over counted pairs y, p of which ``n`` says how many there are."""
+    known = F.col("y").isin(*labels) & F.col("p").isin(*labels)
+    s = lambda c: F.coalesce(F.sum(F.when(known & c, n)), F.lit(0)).cast("double")
+    recalls, scores = [], []
+    for x in labels:
+        right, true, told = s((F.col("y") == x) & (F.col("p") == x)), s(F.col("y") == x), s(F.col("p") == x)
+        recalls.append(F.try_divide(right, true))
+        scores.append(F.coalesce(F.try_divide(2 * right, true + told), F.lit(0.0)))
+    mean = lambda x: F.try_divide(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), F.size(x).cast("double"))
+    return F.coalesce(mean(F.array_compact(F.array(*recalls))), F.lit(0.0)), mean(F.array(*scores))
 
 
 def balanced_accuracy(df: DataFrame, labels=LABELS) -> DataFrame:
     """Mean recall over the classes that occur."""
-    return _by_label(df, labels).agg(F.coalesce(F.avg(F.when(F.col("nt") > 0, F.col("tp") / F.col("nt"))), F.lit(0.0)).alias("balanced_accuracy"))
+    return cells(df, labels=labels).agg(_per_label(labels, F.col("n"))[0].alias("balanced_accuracy"))
 
 
 def macro_f1(df: DataFrame, labels=LABELS) -> DataFrame:
     """Mean F1 over all labels; one that neither occurs nor is predicted counts zero."""
-    f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("nt") + F.col("np")), F.lit(0.0))
-    return _by_label(df, labels).agg(F.avg(f1).alias("macro_f1"))
+    return cells(df, labels=labels).agg(_per_label(labels, F.col("n"))[1].alias("macro_f1"))
 
 
 def classification_bundle(df: DataFrame, labels=LABELS) -> DataFrame:
-    """qwk, balanced_accuracy, macro_f1 over pairs of known labels; accuracy and mae over all pairs. One row."""
+    """qwk, balanced_accuracy, macro_f1 over pairs of known labels; accuracy and mae over all pairs. One row, from one table of pairs."""
     counts = df.groupBy("y", "p").agg(F.count("*").alias("n"))
-    over = counts.agg(
+    recall, f1 = _per_label(labels, F.col("n"))
+    return counts.agg(
         kappa_columns(labels, "n").alias("qwk"),
         (F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"),
         (F.sum(F.abs(F.col("y") - F.col("p")) * F.col("n")) / F.sum("n")).alias("mae"),
+        recall.alias("balanced_accuracy"),
+        f1.alias("macro_f1"),
     )
-    return _beside(over, balanced_accuracy(df, labels), macro_f1(df, labels))
-
-
-def _beside(*frames: DataFrame) -> DataFrame:
-    """One-row frames side by side."""
-    out = frames[0].withColumn("_k", F.lit(0))
-    for f in frames[1:]:
-        out = out.join(F.broadcast(f.withColumn("_k", F.lit(0))), "_k")
-    return out.drop("_k")
 
 
 def score_counts(df: DataFrame, positive: Column, score: str = "score") -> DataFrame:
@@ -92,52 +91,81 @@ def score_counts(df: DataFrame, positive: Column, score: str = "score") -> DataF
 
 
 def curve(counts: DataFrame) -> DataFrame:
-    """score, pos, neg and, counted from the highest score down to it, tp and fp."""
-    return running(counts, value_buckets(counts, "score"), [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True)
+    """score, pos, neg; counted from the highest score down to it tp and fp; next_pos and next_neg of the score below; and the totals n1, n0.
+
+    Counted in buckets of scores and over the buckets, so no task holds all scores.
+    """
+    rows = value_buckets(counts, "score")
+    whole, down = W.partitionBy(F.lit(0)), W.orderBy(F.desc("_bucket"))
+    above = down.rowsBetween(W.unboundedPreceding, -1)
+    buckets = rows.groupBy("_bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max_by(F.struct("pos", "neg"), "score").alias("head"))
+    base = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    buckets = buckets.select("_bucket", base("p").alias("p"), base("n").alias("n"), F.lead("head").over(down).alias("head"), F.sum("p").over(whole).alias("n1"), F.sum("n").over(whole).alias("n0"))
+    inside = W.partitionBy("_bucket").orderBy(F.desc("score"))
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    told = {"tp": F.col("p") + F.sum("pos").over(upto), "fp": F.col("n") + F.sum("neg").over(upto)}
+    told |= {f"next_{c}": F.coalesce(F.lead(c).over(inside), F.col("head")[c]) for c in ("pos", "neg")}
+    return rows.join(F.broadcast(buckets), "_bucket").withColumns(told).select("score", "pos", "neg", *told, "n1", "n0")
+
+
+def _corner() -> Column:
+    """Where the step to the next point differs from the last one, and at the end."""
+    return F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
 
 
 def roc_points(counts: DataFrame) -> DataFrame:
-    """threshold, tp, fp, tpr, fpr at the corners of the ROC curve: points whose step differs from the next one's, and the last.
-    (The start, where nothing is called positive, isn't listed.)"""
-    points = following(curve(counts), value_buckets(counts, "score"), "score", ["pos", "neg"], descending=True)
-    corner = F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
-    totals = counts.agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0"))
-    return points.where(corner).join(F.broadcast(totals)).select(F.col("score").alias("threshold"), "tp", "fp", F.try_divide("tp", "n1").alias("tpr"), F.try_divide("fp", "n0").alias("fpr"))
+    """threshold, tp, fp, tpr, fpr at the corners of the ROC curve. (The start, where nothing is called positive, isn't listed.)"""
+    return curve(counts).where(_corner()).select(F.col("score").alias("threshold"), "tp", "fp", F.try_divide("tp", "n1").alias("tpr"), F.try_divide("fp", "n0").alias("fpr"))
 
 
 def pr_points(counts: DataFrame) -> DataFrame:
-    totals = counts.agg(F.sum("pos").alias("n1"))
-    return curve(counts).join(F.broadcast(totals)).select(F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "n1").alias("recall"))
+    return curve(counts).select(F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "n1").alias("recall"))
+
+
+def _auroc() -> Column:
+    """Over a curve: the share of positive-negative pairs in the right order, ties half. Null with one class alone."""
+    return F.try_divide(F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") / 2)), F.sum("pos").cast("double") * F.sum("neg"))
+
+
+def _precision() -> Column:
+    return F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("pos").cast("double"))
+
+
+def _best(target: float) -> Column:
+    """Over a curve: among the corners that reach the sensitivity, the one with the fewest false positives, the highest threshold first."""
+    there = _corner() & (F.try_divide("tp", "n1") >= target) & (F.col("n0") > 0)
+    return F.min_by(F.when(there, F.struct(F.col("score").alias("threshold"), "tp", "fp", "n1", "n0")), F.when(there, F.struct(F.col("fp"), -F.col("score"))))
+
+
+def _rates(best: str) -> list[Column]:
+    b = F.col(best)
+    fn, tn = b["n1"] - b["tp"], b["n0"] - b["fp"]
+    found = lambda c: F.when(b.isNotNull(), F.coalesce(c, F.lit(0.0)))
+    return [
+        b["threshold"].alias("threshold"),
+        F.try_divide(b["tp"], b["n1"]).alias("sensitivity"),
+        F.try_divide(tn, b["n0"]).alias("specificity"),
+        found(F.try_divide(b["tp"], b["tp"] + b["fp"])).alias("ppv"),
+        found(F.try_divide(tn, tn + fn)).alias("npv"),
+    ]
 
 
 def auroc(counts: DataFrame) -> DataFrame:
-    """Share of positive-negative pairs in the right order, ties half. Null with one class alone."""
-    return curve(counts).agg(F.try_divide(F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") / 2)), F.sum("pos").cast("double") * F.sum("neg")).alias("auroc"))
+    return curve(counts).agg(_auroc().alias("auroc"))
 
 
 def average_precision(counts: DataFrame) -> DataFrame:
-    return curve(counts).agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("pos").cast("double")).alias("average_precision"))
+    return curve(counts).agg(_precision().alias("average_precision"))
 
 
 def operating_point(counts: DataFrame, target: float = 0.9) -> DataFrame:
-    """Among the corners with a sensitivity of ``target`` or more, the one with the fewest false positives, the highest threshold
-    first: threshold, sensitivity, specificity, ppv, npv. All null with one class alone."""
-    totals = counts.agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0"))
-    points = roc_points(counts).where(F.col("tpr") >= target)
-    best = points.agg(F.min_by(F.struct("threshold", "tp", "fp"), F.struct(F.col("fp"), -F.col("threshold"))).alias("b")).select("b.*")
-    fn, tn = F.col("n1") - F.col("tp"), F.col("n0") - F.col("fp")
-    two = (F.col("n1") > 0) & (F.col("n0") > 0)
-    return _beside(best, totals).select(
-        F.when(two, F.col("threshold")).alias("threshold"),
-        F.when(two, F.try_divide("tp", "n1")).alias("sensitivity"),
-        F.when(two, F.try_divide(tn, F.col("n0"))).alias("specificity"),
-        F.when(two, F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))).alias("ppv"),
-        F.when(two, F.coalesce(F.try_divide(tn, tn + fn), F.lit(0.0))).alias("npv"),
-    )
+    """threshold, sensitivity, specificity, ppv, npv where the sensitivity reaches ``target``. All null with one class alone."""
+    return curve(counts).agg(_best(target).alias("best")).select(*_rates("best"))
 
 
 def referable_metrics(df: DataFrame, threshold_grade: int = 2, target: float = 0.9) -> DataFrame:
-    """prevalence, auroc, average_precision and the operating point, of the grade reaching ``threshold_grade``."""
+    """prevalence, auroc, average_precision and the operating point, of the grade reaching ``threshold_grade``: one aggregate over one curve."""
     counts = score_counts(df, F.col("y") >= threshold_grade)
-    prevalence = counts.agg(F.try_divide(F.sum("pos"), F.sum(F.col("pos") + F.col("neg"))).alias("prevalence"))
-    return _beside(prevalence, auroc(counts), average_precision(counts), operating_point(counts, target))
+    prevalence = F.try_divide(F.sum("pos"), F.sum(F.col("pos") + F.col("neg")))
+    got = curve(counts).agg(prevalence.alias("prevalence"), _auroc().alias("auroc"), _precision().alias("average_precision"), _best(target).alias("best"))
+    return got.select("prevalence", "auroc", "average_precision", *_rates("best"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ocellus.functions.ordering import quantiles
+
 LEAST_ROWS = 50
 
 
@@ -26,14 +28,15 @@ def absolute_reasons(mask_fraction: Column, focus: Column, brightness: Column, m
 def flag_cohort_outliers(frame: DataFrame, quantile: float = 0.01, columns: tuple[tuple[str, str], ...] = (("qc_brightness", "cohort_dark"), ("qc_focus", "cohort_blurred"))) -> DataFrame:
     """Flags rows at or below the cohort's exact lower quantile (linear, NaN left out) of each column with LEAST_ROWS values.
 
-    Reasons are appended to qc_reasons, and gradable becomes false. The cut points are one row, which is broadcast.
+    Reasons are appended to qc_reasons, and gradable becomes false. The cut points are one row for each column, which is broadcast.
     """
     if not 0 < quantile < 0.5:
         return frame
-    num = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c, _ in columns}
-    cuts = frame.agg(*[F.percentile(num[c], F.lit(quantile)).alias(f"_q{k}") for k, (c, _) in enumerate(columns)], *[F.count(num[c]).alias(f"_n{k}") for k, (c, _) in enumerate(columns)])
-    out = frame.join(F.broadcast(cuts))
-    hits = [F.when((F.col(f"_n{k}") >= LEAST_ROWS) & (num[c] <= F.col(f"_q{k}")), F.lit(reason)) for k, (c, reason) in enumerate(columns)]
+    out = frame
+    for k, (c, _) in enumerate(columns):
+        out = out.join(F.broadcast(quantiles(frame, c, [quantile]).select(F.col("q")[0].alias(f"_q{k}"), F.col("n").alias(f"_n{k}"))))
+    low = [~F.isnan(F.col(c).cast("double")) & (F.col(c) <= F.col(f"_q{k}")) for k, (c, _) in enumerate(columns)]
+    hits = [F.when((F.col(f"_n{k}") >= LEAST_ROWS) & low[k], F.lit(reason)) for k, (_, reason) in enumerate(columns)]
     told = F.when(F.col("qc_reasons") != "", F.col("qc_reasons"))
     out = out.withColumn("qc_reasons", F.array_join(F.array_compact(F.array(told, *hits)), ";"))
     fine = F.col("gradable")

@@ -30,12 +30,7 @@ def group_folds(rows: DataFrame, n_splits: int, seed: int = 42) -> DataFrame:
     Places in the order are counted within hash buckets and over them, so no task holds all groups of a grade.
     """
     sizes = group_sizes(rows).withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("group"))))
-    out = None
-    for (worst,) in sizes.select("worst").distinct().orderBy("worst").collect():  # the grades
-        part = running(sizes.where(F.col("worst") == worst), hash_bucket(F.col("h")), [F.col("h"), F.col("group")], {"place": F.lit(1)})
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return sizes.select("group", "worst", "n", F.lit(0).alias("fold"))
+    out = running(sizes, hash_bucket(F.col("h")), [F.col("h"), F.col("group")], {"place": F.lit(1)}, by=("worst",))
     return out.select("group", "worst", "n", F.pmod(F.col("place") - 1, F.lit(n_splits)).cast("int").alias("fold"))
 
 

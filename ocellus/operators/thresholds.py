@@ -6,40 +6,53 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ocellus.functions.ordering import quantiles, running, step_of, value_buckets
+
 MOST_CANDIDATES = 400
 
 
 def initial(df: DataFrame, labels: tuple[int, ...]) -> DataFrame:
     """cut (1-based), share, threshold: score quantiles at the cumulative shares of the classes."""
-    counts = df.agg(F.count("*").alias("n"), *[F.sum((F.col("y") <= x).cast("long")).alias(f"c{x}") for x in labels[:-1]])
-    shares = [r / n if n else 0.0 for n, *cs in [tuple(counts.first())] for r in [c or 0 for c in cs]]
-    cuts = df.agg(F.percentile("score", F.array(*[F.lit(s) for s in shares])).alias("q"))
+    counts = df.agg(F.count("*").alias("n"), *[F.sum((F.col("y") <= x).cast("long")).alias(f"c{x}") for x in labels[:-1]]).first()
+    shares = [(c or 0) / counts["n"] if counts["n"] else 0.0 for c in counts[1:]]
     told = F.array(*[F.lit(s) for s in shares])
-    return cuts.select(F.posexplode("q").alias("k", "threshold"), told.alias("s")).select((F.col("k") + 1).alias("cut"), F.col("s")[F.col("k")].alias("share"), "threshold")
+    cuts = quantiles(df, "score", shares).select(F.posexplode("q").alias("k", "threshold"))
+    return cuts.select((F.col("k") + 1).alias("cut"), told[F.col("k")].alias("share"), "threshold")
 
 
 def candidates(df: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
-    """Midpoints of neighbouring distinct scores; of more than ``most`` distinct ones, of that many quantiles."""
+    """Midpoints of neighbouring distinct scores; of more than ``most`` distinct ones, of that many exact quantiles of them."""
     distinct = df.select(F.col("score").cast("double").alias("score")).where("score is not null").distinct()
-    few = distinct.limit(most + 1).count() <= most
-    if few:
-        marks = distinct.agg(F.sort_array(F.collect_list("score")).alias("m"))  # at most ``most`` values
+    n = distinct.count()
+    if n <= most:
+        marks = [r["score"] for r in distinct.collect()]
     else:
-        marks = distinct.agg(F.array_sort(F.array_distinct(F.percentile("score", F.array(*[F.lit(k / (most - 1)) for k in range(most)])))).alias("m"))
-    pairs = F.zip_with(F.slice("m", 1, F.size("m") - 1), F.slice("m", 2, F.size("m") - 1), lambda a, b: (a + b) / 2)
-    return marks.select(F.explode(pairs).alias("candidate"))
+        places = np.arange(most) * (n - 1) / (most - 1)
+        wanted = np.unique(np.r_[np.floor(places), np.ceil(places)]).astype(int).tolist()
+        ranked = running(value_buckets(distinct, "score"), F.col("_bucket"), [F.col("score")], {"upto": F.lit(1)})
+        at = {r["upto"] - 1: r["score"] for r in ranked.where((F.col("upto") - 1).isin(wanted)).collect()}
+        lo, hi = ([at[int(k)] for k in f(places)] for f in (np.floor, np.ceil))
+        marks = (np.array(lo) + (places - np.floor(places)) * (np.array(hi) - np.array(lo))).tolist()
+    marks = np.unique(np.array(marks, float))
+    return df.sparkSession.createDataFrame([(float(m),) for m in (marks[1:] + marks[:-1]) / 2], "candidate double")
+
+
+def moments(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    """Of a table bins x true classes: how many rows, and the sum of their classes, lie in each bin or above (and none beyond the last);
+    the rows, and the sums of their classes and of the classes' squares."""
+    k = np.arange(table.shape[1])
+    above = lambda x: np.r_[np.cumsum(x[::-1])[::-1], 0.0]
+    return above(table.sum(axis=1)), above(table @ k), table.sum(), (table @ k).sum(), (table @ (k * k)).sum()
 
 
-def _kappa(table: np.ndarray, cuts: list[int]) -> float:
-    """Agreement where bins up to each cut are one class; table: bins x true classes."""
-    k = table.shape[1]
-    pred = np.add.reduceat(np.vstack([table, np.zeros((1, k))]), np.r_[0, cuts], axis=0)
-    pred[np.r_[np.diff(np.r_[0, cuts]) == 0, False]] = 0  # empty classes
-    i = np.arange(k)
-    d = (i[:, None] - i[None, :]) ** 2
-    n = pred.sum()
-    expected = (np.outer(pred.sum(1), pred.sum(0)) * d).sum() / max(n, 1)
-    return 1 - (pred * d).sum() / expected if expected > 1e-12 else 0.0
+def kappa(m: tuple, cuts: list[np.ndarray]) -> np.ndarray:
+    """Agreement where a row's class is the number of cuts at its bin or below. One cut may be an array of several."""
+    count, ysum, n, y, yy = m
+    p = sum(count[c] for c in cuts)
+    pp = sum((2 * j + 1) * count[c] for j, c in enumerate(cuts))  # k squared is the sum of the first k odd numbers
+    py = sum(ysum[c] for c in cuts)
+    expected = (n * (pp + yy) - 2 * p * y) / max(n, 1)
+    return np.where(expected > 1e-12, 1 - (pp + yy - 2 * py) / np.maximum(expected, 1e-12), 0.0)
 
 
 def search(df: DataFrame, labels: tuple[int, ...], sweeps: int = 3) -> list[float]:
@@ -48,24 +61,23 @@ def search(df: DataFrame, labels: tuple[int, ...], sweeps: int = 3) -> list[floa
     marks = sorted(r["candidate"] for r in candidates(df).collect())
     if not marks:
         return [0.0] * (len(labels) - 1)
-    edges = F.array(*[F.lit(m) for m in marks])
-    bins = df.groupBy(F.size(F.filter(edges, lambda m: m < F.col("score"))).alias("bin"), "y").count().collect()
+    # a mark's bin is that of the scores above it
+    binned = step_of(df.where("score is not null"), "score", np.nextafter(marks, np.inf).tolist(), "bin")
     table = np.zeros((len(marks) + 1, len(labels)))
-    for r in bins:
+    for r in binned.groupBy("bin", "y").count().collect():
         if r["y"] in labels:
             table[r["bin"], labels.index(r["y"])] += r["count"]
+    m = moments(table)
     start = [r["threshold"] for r in initial(df, labels).orderBy("cut").collect()]
     cuts = [min(int(np.searchsorted(marks, t)) + 1, len(marks)) for t in start]
-    best = _kappa(table, cuts)
+    best = float(kappa(m, cuts))
     for _ in range(sweeps):
         moved = False
         for j in range(len(cuts)):
             lo, hi = cuts[j - 1] if j else 0, cuts[j + 1] if j + 1 < len(cuts) else len(marks)
-            for c in range(lo, hi + 1):
-                trial = [*cuts[:j], c, *cuts[j + 1 :]]
-                got = _kappa(table, trial)
-                if got > best + 1e-9:
-                    best, cuts, moved = got, trial, True
+            got = kappa(m, [*cuts[:j], np.arange(lo, hi + 1), *cuts[j + 1 :]])
+            if got.max() > best + 1e-9:
+                best, cuts[j], moved = float(got.max()), lo + int(got.argmax()), True
         if not moved:
             break
     full = [marks[0] - 1, *marks, marks[-1] + 1]
