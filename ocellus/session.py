@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Rows of a batch that goes to Python: texts and pictures are large rows. Sessions that state a number of their own keep it.
+BATCH, BATCH_ROWS, BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000", "10000"
 _shipped: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
@@ -42,4 +44,6 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(p, p.relative_to(root.parent))
         context.addPyFile(str(folder / "ocellus.zip"))
         _shipped[context] = True
+    if spark.conf.get(BATCH, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, BATCH_ROWS)
     return spark

@@ -1,6 +1,7 @@
 """Kernels, extraction, store, learning and the command line."""
 
 from dataclasses import replace
+from urllib.parse import unquote
 
 import numpy as np
 import pytest
@@ -137,6 +138,36 @@ def test_end_to_end(spark, cohort):
     assert failed.extraction_ok == 0 and failed.qc_reasons == "extraction_failed" and not failed.gradable
 
 
+def test_only_missing_files_are_read(spark, tmp_path, monkeypatch):
+    """Of a stored folder with one new file only that one is decoded; lots don't change the result."""
+    read = []
+
+    def counted(images):
+        got = pixels(images)
+        read.append(sorted(unquote(p.rsplit("/", 1)[-1]) for p in got.inputFiles()))
+        return got
+
+    pixels = extract.pixels
+    monkeypatch.setattr(extract, "pixels", counted)
+    monkeypatch.setattr(extract, "LOT", 2)
+    folder, store, small = tmp_path / "in", str(tmp_path / "store"), Features(work_size=64)
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"eye +[{k}] {{x}}%.png").write_bytes(render.png(picture(k, size=64)))
+    (folder / "old.ppm").write_bytes(b"P6 64 64 255\n" + bytes(3 * 64 * 64))
+    images = lambda: tables.scan_images(spark, str(folder)).withColumn("grade", F.lit(1))
+    assert extract.extract_with_store(images(), store, small).count() == 4
+    assert sorted(x for y in read for x in y) == ["eye +[0] {x}%.png", "eye +[1] {x}%.png", "eye +[2] {x}%.png", "old.ppm"]
+    read.clear()
+    (folder / "new.png").write_bytes(render.png(picture(4, size=64)))
+    assert extract.extract_with_store(images(), store, small).count() == 5 and read == [["new.png"]]
+    read.clear()
+    assert extract.extract_with_store(images(), store, small).count() == 5 and read == []
+    gone = spark.createDataFrame([("x", str(folder / "none.png")), ("y", str(folder / "new.png"))], "image_id string, image_path string")
+    got = {r.image_id: r.extraction_ok for r in extract.extract(pixels(gone), small).collect()}
+    assert got == {"x": 0, "y": 1}
+
+
 @pytest.mark.parametrize("name", ["dummy_frequent", "dummy_stratified", "logreg", "ordinal_gbm"])
 def test_models(spark, name, tmp_path):
     rng = np.random.default_rng(0)
