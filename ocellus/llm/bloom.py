@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from .common import frugal
+
 BITS_PER_KEY = 16
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 SEGMENT = 8192  # bytes
-CHUNK = 1 << 20  # keys
+CHUNK = 1 << 18  # keys
 #: Tasks that build; more partitions are read by fewer tasks, so a segment meets a bounded number of pieces.
 MAX_TASKS = 1024
 #: Frequent keys are looked for above this share of all keys, or a rarer one: so at most twice as many are gathered.
@@ -153,7 +155,7 @@ def repeated_and_frequent(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterat
     chunks = min(df.rdd.getNumPartitions(), MAX_TASKS) + n_keys // CHUNK + 1 if limit else 0
     often = max(2, limit // chunks) if limit else 0
     buckets = min(max(16, chunks // 8), 1 << 16)
-    pieces = df.coalesce(MAX_TASKS).mapInArrow(_Build(keys, bits, often, buckets), "segment int, at binary, once binary, again binary")
+    pieces = df.coalesce(MAX_TASKS).mapInArrow(frugal(_Build(keys, bits, often, buckets)), "segment int, at binary, once binary, again binary")
     merged = pieces.groupBy("segment").applyInPandas(_merger(limit), "segment int, again binary")
     out, frequent = np.zeros(bits // 8, np.uint8), [np.zeros(0, np.uint64)]
     for row in merged.toLocalIterator():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -185,7 +186,7 @@ def cut_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     its own size.
     """
     by_row = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    cut = rows.join(by_row.hint("shuffle_hash"), ["doc_id", "row"], "left").mapInArrow(_cut, CUT)
+    cut = rows.join(by_row.hint("shuffle_hash"), ["doc_id", "row"], "left").mapInArrow(frugal(_cut), CUT)
     return cut.withColumn("doc_id", public_id())
 
 
@@ -199,6 +200,23 @@ def span_digest(cut: DataFrame) -> DataFrame:
     )
 
 
+def _release() -> None:
+    """Give freed memory back, so that a worker that is used again doesn't hold the most that any task before it needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def frugal(run: Callable) -> Callable:
+    """The mapInArrow function, with freed memory given back at a task's end."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _release()
+
+    return tidy
+
+
 def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = 4_000_000) -> Callable:
     """mapInArrow function that gives ``f`` slices of bounded text."""
 
@@ -207,4 +225,4 @@ def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = 4_000_0
             for batch in parts(whole, most=most):
                 yield f(batch)
 
-    return run
+    return frugal(run)

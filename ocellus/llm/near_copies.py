@@ -3,7 +3,9 @@ radius is found by shared rare shingles, so that all pairs with a Jaccard simila
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom, simhash
-from .common import NULL_ID, bytes_of, join_hot, per_batch, parts, slim, stage, unused
+from .common import NULL_ID, bytes_of, frugal, join_hot, per_batch, parts, slim, stage, unused
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -21,6 +23,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 CELL = 1000
 #: Text that a task holds the shingles of at a time.
 SLICE = 500_000
+#: 64-bit words of a set's parity bits, and their columns.
+WORDS = 8
+PARITY = [f"w{k}" for k in range(WORDS)]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,6 +48,13 @@ def fingerprint(found: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(found)).view(np.int64)[0])
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * WORDS buckets: whether an odd number of shingles falls into it. Each shingle that only one of two sets holds
+    flips one bit, so the sets differ by as many shingles at least as their bits differ."""
+    odd = np.bincount((found >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _node(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
@@ -89,20 +101,25 @@ def _sets(again, hot: np.ndarray, shingle: int, similarity: float):
                     some = found[rest]
                     if len(hot):
                         some = some[np.argsort(bloom.among(some, hot), kind="stable")]
-                    out.append((node, fingerprint(found), n, many, some[:send].view(np.int64), found.view(np.int64)))
-                if len(told) > 500_000:
+                    out.append((node, fingerprint(found), n, many, *parity(found).tolist(), some[:send].view(np.int64), found.view(np.int64)))
+                if len(told) > 100_000:
                     told.clear()
-                cols = list(zip(*out, strict=True)) if out else [()] * 6
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["node", "fp", "n", "many", "tokens", "found"])
+                cols = list(zip(*out, strict=True)) if out else [()] * (6 + WORDS)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), *([pa.int64()] * WORDS), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["node", "fp", "n", "many", *PARITY, "tokens", "found"])
 
     return run
 
 
 def _fits(a: str, b: str, similarity: float) -> F.Column:
-    """Whether two sets' sizes, and their numbers of shingles that repeat, let them have the similarity."""
-    least = F.lit(similarity / (1 + similarity)) * (F.col(f"{a}n") + F.col(f"{b}n")) - F.lit(1e-6)
-    return F.least(f"{a}n", f"{b}n", f"{a}many", f"{b}many") >= least
+    """Whether two sets' sizes, their numbers of shingles that repeat, and the bits by which they differ let them have the similarity.
+
+    No pair with it is left out: the bits (exclusive-or and bit count) bound the shingles that only one of the sets holds from below.
+    """
+    both = F.col(f"{a}n") + F.col(f"{b}n")
+    sizes = F.least(f"{a}n", f"{b}n", f"{a}many", f"{b}many") >= F.lit(similarity / (1 + similarity)) * both - F.lit(1e-6)
+    differ = functools.reduce(operator.add, (F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in PARITY))
+    return sizes & (differ <= F.lit((1 - similarity) / (1 + similarity)) * both + F.lit(1e-6))
 
 
 def _verified(pairs: DataFrame, told: DataFrame, similarity: float, label: str) -> DataFrame:
@@ -140,12 +157,13 @@ def links(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = size // 6 + 1
     again, hot = bloom.repeated_and_frequent(texts, _Keys(shingle), n, CELL)
-    told = stage(texts.mapInArrow(_sets(again, hot, shingle, similarity), "node long, fp long, n int, many int, tokens array<long>, found array<long>"), "told")
-    held = told.select("node", "n", "many", F.explode("tokens").alias("token")).distinct()
-    whole = F.struct("node", "n", "many")
+    told = stage(texts.mapInArrow(frugal(_sets(again, hot, shingle, similarity)), f"node long, fp long, n int, many int, {", ".join(f"{w} long" for w in PARITY)}, tokens array<long>, found array<long>"), "told")
+    own = ["node", "n", "many", *PARITY]
+    held = told.select(*own, F.explode("tokens").alias("token")).dropDuplicates(["node", "token"])
+    whole = F.struct(*own)
     ends = held.groupBy("token").agg(F.min(whole).alias("least"), F.max(whole).alias("most"), F.count("*").alias("held")).where("held > 1")
     held = stage(join_hot(held, ends, "token", "held", held.count()), "held")
-    star = held.select("node", "n", "many", F.explode(F.array("least", "most")).alias("end")).where("node != end.node").where(_fits("", "end.", similarity))
+    star = held.select(*own, F.explode(F.array("least", "most")).alias("end")).where("node != end.node").where(_fits("", "end.", similarity))
     star = star.select(F.least("node", "end.node").alias("u"), F.greatest("node", "end.node").alias("v"))
     near = _verified(star.unionByName(_alike(told, radius)), told, similarity, "star")
     label = components(near).withColumnRenamed("u", "node")
@@ -155,8 +173,8 @@ def links(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     held = join_hot(held.drop("held"), apart, "token", "held", held.count()).drop("low", "high")
     held = held.withColumn("cells", F.ceil(F.col("held") / CELL).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     held = stage(held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))), "cells")
-    a = held.select("token", F.col("part").alias("i"), F.col("other").alias("j"), *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "many", "label")))
-    b = held.select("token", F.col("other").alias("i"), F.col("part").alias("j"), *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "many", "label")))
+    a = held.select("token", F.col("part").alias("i"), F.col("other").alias("j"), *(F.col(c).alias(f"a_{c}") for c in (*own, "label")))
+    b = held.select("token", F.col("other").alias("i"), F.col("part").alias("j"), *(F.col(c).alias(f"b_{c}") for c in (*own, "label")))
     pairs = a.join(b, ["token", "i", "j"]).where("a_label < b_label").where(_fits("a_", "b_", similarity))
     pairs = pairs.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v"))
     return near.unionByName(_verified(pairs, told, similarity, "rest"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, join_hot, per_batch, public_id, slim, stage
+from .common import bytes_of, frugal, join_hot, per_batch, public_id, slim, stage
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -233,11 +233,11 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     # both numbers of partitions follow the work, not the size of the few packed rows; a large tile is dealt by several tasks
     total = int(counts.sum())
     part = F.pmod(F.xxhash64("fp"), F.lit(-(-total // (DEAL << 8)) or 1))
-    dealt = tiled.repartition(-(-total // DEAL) or 1, "tile", part).select("fp").mapInArrow(_deal(sent, radius), "tile int, cell int, guest boolean, prints binary")
+    dealt = tiled.repartition(-(-total // DEAL) or 1, "tile", part).select("fp").mapInArrow(frugal(_deal(sent, radius)), "tile int, cell int, guest boolean, prints binary")
     pairs, size = planned(counts, radius)
     tasks = max(1, pairs // TASK_PAIRS, size // TASK_BYTES)
     met = dealt.repartition(tasks, "tile", "cell").sortWithinPartitions("tile", "cell", "guest")
-    return met.mapInArrow(_compare(radius), "u long, v long")
+    return met.mapInArrow(frugal(_compare(radius)), "u long, v long")
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import parts, public_id, slim
+from .common import frugal, parts, public_id, slim
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -84,7 +84,8 @@ class Codec:
     """
 
     LINE = 256  # words encoded as one text
-    STORE = 400_000  # words kept
+    LINES = 64  # texts encoded at once
+    STORE = 150_000  # words kept
 
     def __init__(self, model: bytes, threads: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -119,9 +120,10 @@ class Codec:
     def _learn(self, words: set[str]) -> None:
         plain = [w for w in words if w and w[0] != " " and MARK not in w]
         rest = [w for w in words if w and (w[0] == " " or MARK in w)]
-        lines = [plain[i : i + self.LINE] for i in range(0, len(plain), self.LINE)]
-        texts = [" ".join(x) for x in lines]
-        if texts:
+        every = [plain[i : i + self.LINE] for i in range(0, len(plain), self.LINE)]
+        for k in range(0, len(every), self.LINES):
+            lines = every[k : k + self.LINES]
+            texts = [" ".join(x) for x in lines]
             got = self._encode(texts)
             want = self.theirs.encode(texts, num_threads=self.threads)
             back = self.own.decode_batch(got, skip_special_tokens=False)
@@ -133,8 +135,9 @@ class Codec:
                     continue
                 packed, edge = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
                 self.store.update(zip(line, (packed[i:j] for i, j in zip(edge, edge[1:], strict=False)), strict=True))
-        if rest:
-            self.store.update(zip(rest, self._judge(rest), strict=True))
+        for k in range(0, len(rest), self.LINE * self.LINES):
+            some = rest[k : k + self.LINE * self.LINES]
+            self.store.update(zip(some, self._judge(some), strict=True))
 
     @staticmethod
     def _words(text: str) -> list[str]:
@@ -188,7 +191,7 @@ def _encoder(model, threads: int, names: list[str]):
 
         codec = _codec(model.value, threads)
         for whole in batches:
-            for batch in parts(whole, most=2_000_000):
+            for batch in parts(whole, most=500_000):
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 ids, same, back = codec.encode(texts)
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
@@ -211,7 +214,7 @@ def encode(docs: DataFrame, model: str | None = None, threads: int = 2) -> DataF
     """
     with open(model or default_model(), "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
-    out = slim(docs).mapInArrow(_encoder(sent, threads, ["doc_id"]), ENCODED)
+    out = slim(docs).mapInArrow(frugal(_encoder(sent, threads, ["doc_id"])), ENCODED)
     return out.withColumn("doc_id", public_id())
 
 

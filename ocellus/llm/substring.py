@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom, bwt
-from .common import bytes_of, cut_spans, join_hot, known_rows, longs_of, parts, stage
+from .common import bytes_of, cut_spans, frugal, join_hot, known_rows, longs_of, parts, stage
 from .rolling import BYTE, Prefix, mix
 
 LENGTH = 100
@@ -254,8 +254,8 @@ def spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     again, hot = bloom.repeated_and_frequent(rows, _Keys(length), size * 2 // (length - GRAM) + 1, HOT)
     sent = rows.sparkSession.sparkContext.broadcast(hot)
-    dealt = rows.mapInArrow(_pieces(again, sent, length), PIECE).repartition("deal").sortWithinPartitions("deal")
-    got = stage(dealt.mapInArrow(_bundles(length, MOST_OCCURRENCES), SPAN), "bundles")
+    dealt = rows.mapInArrow(frugal(_pieces(again, sent, length)), PIECE).repartition("deal").sortWithinPartitions("deal")
+    got = stage(dealt.mapInArrow(frugal(_bundles(length, MOST_OCCURRENCES)), SPAN), "bundles")
     out = got.where("digest is null").select(*PLACE, "end")
     much = got.where("digest is not null")
     if much.isEmpty():
@@ -263,7 +263,7 @@ def spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     equal = _later(much.drop("piece")).select(*PLACE, "end")
     # a row with the bytes need not be the piece's earliest: its strings count from the earliest place
     lead = much.groupBy("digest").agg(F.min(F.struct(*PLACE)).alias("first"), F.first("piece", ignorenulls=True).alias("piece"))
-    strings = stage(lead.select("first.*", "piece").mapInArrow(_every_string(length), "digest binary, doc_id long, row long, start int"), "strings")
+    strings = stage(lead.select("first.*", "piece").mapInArrow(frugal(_every_string(length)), "digest binary, doc_id long, row long, start int"), "strings")
     same = _later(strings).select(*PLACE, (F.col("start") + length).alias("end"))
     return out.unionByName(equal).unionByName(same)
 

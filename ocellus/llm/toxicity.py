@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bytes_of, longs_of, parts, per_batch, public_id, slim, stage
+from .common import NULL_ID, bytes_of, frugal, longs_of, parts, per_batch, public_id, slim, stage
 from .rolling import Words
 
 #: Feature space; most labelled rows that a fit reads as confirmed and as unlabelled texts; and most word features of all of them.
@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     rows = slim(docs)
     positive, unlabelled = _sample(known, most_positive, most_unlabelled)
     sent = spark.sparkContext.broadcast(np.array(sorted(positive), np.int64))
-    counted = rows.mapInArrow(_counter(sent), "feature int, n long, n_toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
+    counted = rows.mapInArrow(frugal(_counter(sent)), "feature int, n long, n_toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
     found = np.zeros((2, DIMENSIONS))
     for r in counted.toLocalIterator():  # at most DIMENSIONS rows
         found[:, r["feature"]] = r["n"], r["n_toxic"]
