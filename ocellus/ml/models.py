@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
@@ -36,11 +38,15 @@ class QwkEvaluator(Evaluator):
         return True
 
 
-def preprocessing(columns: list[str]) -> list:
-    """Medians for what is missing, no constant columns, mean zero and deviation one."""
+def preprocessing(columns: list[str], scaled: bool = True) -> list:
+    """Medians (to a thousandth of the rows' order) for what is missing; no constant columns, mean zero and deviation one. Trees do without
+    the last two."""
     filled = [f"{c}__f" for c in columns]
+    imputer = Imputer(inputCols=columns, outputCols=filled, strategy="median", relativeError=0.001)
+    if not scaled:
+        return [imputer, VectorAssembler(inputCols=filled, outputCol="features")]
     return [
-        Imputer(inputCols=columns, outputCols=filled, strategy="median", relativeError=0.0),
+        imputer,
         VectorAssembler(inputCols=filled, outputCol="raw_vector"),
         VarianceThresholdSelector(featuresCol="raw_vector", outputCol="kept_vector", varianceThreshold=1e-10),
         StandardScaler(inputCol="kept_vector", outputCol="features", withMean=True, withStd=True),
@@ -171,20 +177,24 @@ def fit(name: str, df: DataFrame, columns: list[str], params: dict[str, Any] | N
         return Fitted(name, columns, labels, None, shares=[counts.get(x, 0) / sum(counts.values()) for x in labels])
     if len(counts) < 2:
         raise ValueError("one class alone can't be learnt")
-    rows = balanced(df)
-    stages = preprocessing(columns)
-    n = sum(counts.values())
-    if name != "ordinal_gbm":
-        return Fitted(name, columns, labels, Pipeline(stages=[*stages, MODELS[name].build(params, seed, n)]).fit(rows))
-    # cut points come from scores of rows that the scoring model didn't see
-    folded = random_folds(rows, cv, seed).persist()
-    apart = None
-    for k in range(cv):
-        part, rest = folded.where(F.col("fold") == k), folded.where(F.col("fold") != k)
-        scored = Pipeline(stages=[*stages, _regressor(params, seed, n)]).fit(rest).transform(part).select(F.col("grade").alias("y"), F.col("value").alias("score"))
-        apart = scored if apart is None else apart.unionByName(scored)
-    apart = apart.persist()
-    cuts = thresholds.search(apart, labels)
-    model = Pipeline(stages=[*stages, _regressor(params, seed, n)]).fit(rows)
-    apart.unpersist(), folded.unpersist()
-    return Fitted(name, columns, labels, model, cuts)
+    n, stages = sum(counts.values()), preprocessing(columns, scaled=name == "logreg")
+    rows = balanced(df.select("image_id", "grade", *columns)).persist()  # every stage and every tree reads them
+    try:
+        if name != "ordinal_gbm":
+            return Fitted(name, columns, labels, Pipeline(stages=[*stages, MODELS[name].build(params, seed, n)]).fit(rows))
+        cuts = thresholds.search(_apart(rows, stages, params, seed, n, cv), labels)
+        return Fitted(name, columns, labels, Pipeline(stages=[*stages, _regressor(params, seed, n)]).fit(rows), cuts)
+    finally:
+        rows.unpersist()
+
+
+def _apart(rows: DataFrame, stages: list, params: dict[str, Any], seed: int, n: int, cv: int) -> DataFrame:
+    """y, score of every row, by a regressor that didn't see it: what cut points come from."""
+    folded = random_folds(rows, cv, seed)
+
+    def one(k: int) -> DataFrame:
+        model = Pipeline(stages=[*stages, _regressor(params, seed, n)]).fit(folded.where(F.col("fold") != k))
+        return model.transform(folded.where(F.col("fold") == k)).select(F.col("grade").alias("y"), F.col("value").alias("score"))
+
+    with ThreadPoolExecutor(cv) as pool:
+        return functools.reduce(DataFrame.unionByName, pool.map(one, range(cv)))

@@ -41,6 +41,11 @@ def decoded(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return (np.repeat(px, 3, axis=2) if channels == 1 else px[..., 2::-1]) / 255.0
 
 
+def loaded(row) -> np.ndarray:
+    """Colours of a row of ``pixels``."""
+    return render.ppm(row.data) if row.height == -2 else decoded(int(row.height), int(row.width), int(row.channels), row.data)
+
+
 def describe(image_id: str, path: str, load, features: Features, quality: Quality) -> dict:
     """One row; whatever goes wrong becomes a row that says so."""
     row = {"image_id": image_id, "image_path": path}
@@ -135,8 +140,7 @@ def extract(pictures: DataFrame, features: Features = Features(), quality: Quali
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                load = (lambda r=r: render.ppm(r.data)) if r.height == -2 else (lambda r=r: decoded(int(r.height), int(r.width), int(r.channels), r.data))
-                yield pd.DataFrame([describe(r.image_id, r.image_path, load, features, quality)]).reindex(columns=names)
+                yield pd.DataFrame([describe(r.image_id, r.image_path, lambda r=r: loaded(r), features, quality)]).reindex(columns=names)
 
     return pictures.mapInPandas(run, out)
 

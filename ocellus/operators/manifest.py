@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ocellus.functions.ordering import hash_bucket, running
-from ocellus.functions.scalars import derive_group, grade_label, normal_id
+from ocellus.functions.scalars import LABELS, derive_group, grade_label, normal_id
 
 
 class LabelJoinError(ValueError):
@@ -96,11 +96,14 @@ def unmatched(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right.select("image_id"), "image_id", "left_anti")
 
 
-def class_summary(manifest: DataFrame) -> DataFrame:
-    """grade, grade_name, n_images, share (4 digits, half to even), n_groups."""
-    counts = manifest.groupBy("grade").agg(F.count("*").alias("n_images"), F.count_distinct("group").alias("n_groups"))
+def class_summary(manifest: DataFrame, labels=LABELS) -> DataFrame:
+    """grade, grade_name, n_images, share (4 digits, half to even), n_groups: a row for each label, with zeros where no image has it, and for
+    each other grade that occurs."""
+    seen = manifest.groupBy("grade").agg(F.count("*").alias("n_images"), F.count_distinct("group").alias("n_groups"))
+    every = manifest.sparkSession.createDataFrame([(x,) for x in labels], "grade int")
+    counts = every.join(seen.withColumn("grade", F.col("grade").cast("int")), "grade", "full").na.fill(0, ["n_images", "n_groups"])
     total = F.sum("n_images").over(W.partitionBy(F.lit(0)))  # over the classes
-    return counts.select("grade", grade_label(F.col("grade")).alias("grade_name"), "n_images", F.bround(F.col("n_images") / total, 4).alias("share"), "n_groups")
+    return counts.select("grade", grade_label(F.col("grade")).alias("grade_name"), "n_images", F.coalesce(F.bround(F.try_divide("n_images", total), 4), F.lit(0.0)).alias("share"), "n_groups")
 
 
 def group_sizes(manifest: DataFrame) -> DataFrame:

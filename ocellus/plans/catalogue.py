@@ -233,6 +233,16 @@ def class_summary(spark, sf):
     return manifest.class_summary(eyes(spark, sf))
 
 
+@query(
+    f"WITH {EYES}, g AS (SELECT least(y, 2) AS grade, grp FROM eyes), l AS (SELECT unnest([0, 1, 2, 3, 4])::INT AS grade) "
+    "SELECT l.grade, count(g.grade) AS n_images, round_even(count(g.grade) / (SELECT count(*) FROM g), 4) AS share, count(DISTINCT grp) AS n_groups FROM l LEFT JOIN g ON g.grade = l.grade GROUP BY l.grade"
+)
+def class_reindex(spark, sf):
+    """Grades that no image has get a row of zeros."""
+    rows = eyes(spark, sf).withColumn("grade", F.least("grade", F.lit(2)))
+    return manifest.class_summary(rows).select("grade", "n_images", "share", "n_groups")
+
+
 @query(f'WITH {EYES} SELECT grp AS "group", max(y) AS worst, count(*) AS n FROM eyes GROUP BY grp')
 def worst_per_group(spark, sf):
     return manifest.group_sizes(eyes(spark, sf))
@@ -549,83 +559,81 @@ def paired_bootstrap(spark, sf):
 
 
 # learning: embeddings as descriptors, half of the label as grade, four neighbours as a group
-def _vectors(spark, sf, n=12):
+def _vectors(spark, sf, n=64):
     e = _read(spark, sf, "embeddings")
     cols = [F.element_at("embedding", k + 1).cast("double").alias(f"{list(scalars.FAMILIES)[k % 4]}_{k}") for k in range(n)]
     return e.select(F.col("vec_id").alias("image_id"), F.floor(F.col("vec_id") / 4).cast("string").alias("group"), F.floor(F.col("label") / 2).cast("int").alias("grade"), *cols)
 
 
-def _learn(name: str, **params):
+def _learn(name: str):
     def run(spark, sf):
         from ocellus.ml import models
         from ocellus.operators.extract import feature_columns
 
         rows = _vectors(spark, sf)
         cols = feature_columns(rows)
-        split = splits.holdout(rows)
-        got = models.fit(name, split.where("not test"), cols, params, cv=3).transform(split.where("test"))
+        split = splits.holdout(rows).persist()
+        got = models.fit(name, split.where("not test"), cols).transform(split.where("test"))
         return got.select("image_id", "grade", "prediction", F.round("score", 6).alias("score"))
 
     return run
 
 
-for _name, _params in (("dummy_frequent", {}), ("dummy_stratified", {}), ("logreg", {}), ("random_forest", {"trees": 20, "depth": 5}), ("hist_gbm", {"iterations": 5, "depth": 3}), ("ordinal_gbm", {"iterations": 8, "depth": 3})):
-    QUERIES[f"{_name}_predictions"] = _learn(_name, **_params)
-
-
-def _small():
-    from ocellus.config import Config, Modeling
-
-    return Config(modeling=Modeling(cv_folds=2, n_search_iter=1, nested_outer_folds=2, n_bootstrap=100, models=("logreg",), permutation_repeats=2))
+for _name in ("dummy_frequent", "dummy_stratified", "logreg", "random_forest", "hist_gbm", "ordinal_gbm"):
+    QUERIES[f"{_name}_predictions"] = _learn(_name)
 
 
 @query()
 def leakage_audit(spark, sf):
+    from ocellus.config import Config
     from ocellus.ml import protocol
 
-    rows = _vectors(spark, sf)
-    got = protocol.leakage_audit(rows, protocol.feature_columns(rows), "logreg", _small())
+    rows = _vectors(spark, sf).persist()
+    got = protocol.leakage_audit(rows, protocol.feature_columns(rows), "logreg", Config())
     return spark.createDataFrame([tuple(got.values())], "model string, grouped_qwk double, random_qwk double, optimism double")
 
 
 @query()
 def nested_cv(spark, sf):
+    """With the default folds, inner and outer; three draws of settings, where the default is ten."""
+    from ocellus.config import Config, Modeling
     from ocellus.ml import protocol
 
-    rows = _vectors(spark, sf, 6)
-    got = protocol.nested(rows, protocol.feature_columns(rows), ("logreg",), _small())
+    rows = _vectors(spark, sf).persist()
+    got = protocol.nested(rows, protocol.feature_columns(rows), ("logreg",), Config(modeling=Modeling(n_search_iter=3)))
     return spark.createDataFrame([(r["model"], r["fold"], r["qwk"]) for r in got], "model string, fold int, qwk double")
 
 
 @query()
 def permutation_importance(spark, sf):
+    from ocellus.config import Config
     from ocellus.ml import models, protocol
 
     rows = _vectors(spark, sf)
     cols = protocol.feature_columns(rows)
-    split = splits.holdout(rows)
-    return protocol.permutation_importance(models.fit("logreg", split.where("not test"), cols), split.where("test"), cols, 3)
+    split = splits.holdout(rows).persist()
+    return protocol.permutation_importance(models.fit("logreg", split.where("not test"), cols), split.where("test"), cols, Config().modeling.permutation_repeats)
 
 
 @query()
 def family_ablation(spark, sf):
+    from ocellus.config import Config
     from ocellus.ml import protocol
 
-    rows = _vectors(spark, sf, 6)
-    got = protocol.family_ablation(rows, protocol.feature_columns(rows), "logreg", _small())
+    rows = _vectors(spark, sf).persist()
+    got = protocol.family_ablation(rows, protocol.feature_columns(rows), "logreg", Config())
     return spark.createDataFrame([tuple(r.values()) for r in got], "family string, n int, all_qwk double, only_qwk double, without_qwk double, loss double")
 
 
 @query()
 def image_extract(spark, sf):
-    """Descriptors of a synthetic cohort with a patient for each region."""
+    """Descriptors of the default synthetic cohort: 320 pictures of 512 x 512. No table of the driver's holds pictures."""
     from ocellus.config import Features, Synthetic
     from ocellus.operators.extract import describe, schema
     from ocellus.sources.tables import synthetic
 
-    n = _read(spark, sf, "region").count()
-    features = Features(work_size=96)
-    pictures = synthetic(spark, Synthetic(n_patients=n, image_size=128))
+    features = Features()
+    pictures = synthetic(spark, Synthetic())
     out = schema(features)
     names = out.fieldNames()
 

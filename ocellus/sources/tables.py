@@ -123,7 +123,15 @@ def save_predictions(long: DataFrame, path: str, models: list[str]) -> None:
     """A row for each image, pred_<model> and score_<model> side by side."""
     wide = long.groupBy("image_id", "group", "grade").pivot("model", models).agg(F.first("prediction").alias("pred"), F.first("score").alias("score"))
     cols = [F.col(f"{m}_{k}").alias(f"{k}_{m}") for m in models for k in ("pred", "score")]
-    wide.select("image_id", "group", F.col("grade").alias("grade_true"), *cols).write.mode("overwrite").csv(path, header=True)
+    wide.select("image_id", "group", F.col("grade").alias("grade_true"), *cols).orderBy("image_id").write.mode("overwrite").csv(path, header=True)
+
+
+def load_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """image_id, group, grade, model, prediction, score of a file that ``save_predictions`` wrote."""
+    wide = spark.read.csv(path, header=True, inferSchema=False)
+    models = [c.removeprefix("pred_") for c in wide.columns if c.startswith("pred_")]
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"pred_{m}").cast("int").alias("prediction"), F.col(f"score_{m}").cast("double").alias("score")) for m in models])
+    return wide.select("image_id", "group", F.col("grade_true").cast("int").alias("grade"), F.explode(each).alias("x")).select("image_id", "group", "grade", "x.*")
 
 
 PICTURE = "image_id string, patient_id string, eye string, grade int, png binary"

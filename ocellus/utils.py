@@ -10,6 +10,7 @@ import random
 import subprocess
 import sys
 import time
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from pathlib import Path
@@ -33,6 +34,23 @@ def setup_logging(level: int = logging.INFO, file: str | Path | None = None) ->
     return log
 
 
+def get_logger(name: str | None = None) -> logging.Logger:
+    """The library's logger, or one below it."""
+    return logging.getLogger(LOGGER if name in (None, LOGGER) else f"{LOGGER}.{name.removeprefix(f'{LOGGER}.')}")
+
+
+def configure_console() -> None:
+    """UTF-8 on both streams, with a substitute for what a terminal can't show; streams that can't be changed stay."""
+    for stream in (sys.stdout, sys.stderr):
+        if hasattr(stream, "reconfigure"):
+            stream.reconfigure(encoding="utf-8", errors="replace")
+
+
+def rng(seed: int, *path: int | str) -> np.random.Generator:
+    """A generator of its own for each path below a seed, so that parts can be drawn in any order."""
+    return np.random.default_rng([seed, *(zlib.crc32(p.encode()) if isinstance(p, str) else p for p in path)])
+
+
 def ensure_dir(path: str | Path) -> Path:
     Path(path).mkdir(parents=True, exist_ok=True)
     return Path(path)

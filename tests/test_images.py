@@ -200,3 +200,34 @@ def test_signature_follows_settings():
     cfg = Config()
     assert manifest_signature(cfg) != manifest_signature(replace(cfg, data=replace(cfg.data, max_images=5)))
     assert manifest_signature(cfg) == manifest_signature(Config())
+
+
+def test_train_and_report(spark, cohort, monkeypatch, capsys):
+    """A report comes from what a training has stored, without another training."""
+    from ocellus import cli
+
+    got = cli.train(spark, cohort)
+    assert set(got.summary["models"]) == {"dummy_frequent", "dummy_stratified", "logreg"} and got.summary["selected"] == "logreg"
+    told = capsys.readouterr().out
+    assert "* logreg" in told and "referral at a score" in told and "against baseline" in told
+    monkeypatch.setattr(cli, "train", None)
+    path = cli.report(spark, cohort)
+    text = path.read_text()
+    assert "chosen by cross-validation: **logreg**" in text and "## Leakage audit" in text
+    names = {p.name for p in (path.parent / "tables").iterdir()}
+    assert names >= {"class_distribution", "confusion", "score_quartiles", "roc", "pr", "point", "examples", "model_comparison.csv", "family_ablation.csv", "leakage.csv", "permutation_importance.csv"}
+    shown = list((path.parent / "overlays").iterdir())
+    grades = got.predictions.sparkSession.read.parquet(str(cohort.place("features").resolve())).select("grade").distinct().count()
+    assert len(shown) == grades and render.unpng(shown[0].read_bytes()).shape == (96, 96, 3)
+    stored = cli.stored(spark, cohort)
+    pairs = lambda d: sorted((r.image_id, r.model, r.grade, r.prediction) for r in d.select("image_id", "model", "grade", "prediction").collect())
+    assert pairs(stored.predictions) == pairs(got.predictions)
+    assert [p.name for p in sorted(cohort.place("features").resolve().glob("*.parquet"))]
+
+
+def test_helpers_of_the_driver(capsys):
+    from ocellus import utils
+
+    assert utils.get_logger("ocellus.cli").name == utils.get_logger("cli").name == "ocellus.cli" and utils.get_logger().name == "ocellus"
+    utils.configure_console()
+    assert utils.rng(3, "a", 1).random() == utils.rng(3, "a", 1).random() != utils.rng(3, "b", 1).random()
