@@ -411,7 +411,39 @@ def threshold_candidates(spark, sf):
     return thresholds.candidates(_read(spark, sf, "lineitem").select(F.col("l_quantity").alias("score")))
 
 
-@query()
+def _search_sql(sweeps: int = 3, most: int = thresholds.MOST_CANDIDATES) -> str:
+    """Coordinate ascent as a recursion: each step moves one cut to where agreement is best, from sums over the bins above a cut."""
+    taken = "list_sum(list_transform([0, 1, 2, 3], lambda m: CASE WHEN m = ((step + 4) % 4) THEN 0 ELSE {} END))"
+    p = taken.format("g0[c[m + 1] + 1]") + " + g0[x + 1]"
+    pp = taken.format("(2 * m + 1) * g0[c[m + 1] + 1]") + " + (2 * ((step + 4) % 4) + 1) * g0[x + 1]"
+    py = taken.format("g1[c[m + 1] + 1]") + " + g1[x + 1]"
+    return f"""
+WITH RECURSIVE {EYES}, d AS (SELECT DISTINCT score AS s FROM eyes), o AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS r, count(*) OVER () AS n FROM d),
+place AS (SELECT DISTINCT k, CASE WHEN n <= {most} THEN k::DOUBLE ELSE k * (n - 1)::DOUBLE / {most - 1} END AS pos FROM (SELECT DISTINCT n FROM o), range({most}) t(k) WHERE k < n),
+q AS (SELECT DISTINCT a.s + (pos - floor(pos)) * (b.s - a.s) AS s FROM place JOIN o a ON a.r = floor(pos) JOIN o b ON b.r = ceil(pos)),
+mid AS (SELECT (s + lead(s) OVER (ORDER BY s)) / 2 AS m FROM q), marks AS (SELECT m, row_number() OVER (ORDER BY m) AS r FROM mid WHERE m IS NOT NULL), size AS (SELECT count(*) AS n_marks FROM marks),
+bins AS (SELECT y, coalesce(r, 0) AS bin FROM (SELECT y, score FROM eyes) e ASOF LEFT JOIN marks ON e.score > marks.m), t AS (SELECT bin, count(*) AS n, sum(y) AS y, sum(y * y) AS yy FROM bins GROUP BY bin),
+full_t AS (SELECT b, coalesce(n, 0) AS n, coalesce(y, 0) AS y, coalesce(yy, 0) AS yy FROM (SELECT unnest(range((SELECT n_marks + 2 FROM size))) AS b) LEFT JOIN t ON t.bin = b),
+g AS (SELECT list(a0 ORDER BY b) AS g0, list(a1 ORDER BY b) AS g1 FROM (SELECT b, sum(n) OVER w::DOUBLE AS a0, sum(y) OVER w::DOUBLE AS a1 FROM full_t WINDOW w AS (ORDER BY b DESC))),
+tot AS (SELECT sum(n)::DOUBLE AS n, sum(y)::DOUBLE AS y, sum(yy)::DOUBLE AS yy FROM full_t),
+share AS (SELECT j, (SELECT count(*) FROM eyes WHERE y < j) / (SELECT count(*) FROM eyes) * ((SELECT count(*) FROM eyes) - 1) AS pos FROM (SELECT unnest([1, 2, 3, 4]) AS j)), e AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS k FROM eyes),
+first AS (SELECT j, a.score + (pos - floor(pos)) * (b.score - a.score) AS v FROM share JOIN e a ON a.k = floor(pos) JOIN e b ON b.k = ceil(pos)),
+start AS (SELECT list(least((SELECT count(*) FROM marks WHERE m < v) + 1, (SELECT n_marks FROM size)) ORDER BY j) AS c FROM first),
+st AS (
+  SELECT -1 AS step, c, -2.0::DOUBLE AS best FROM start
+  UNION ALL
+  SELECT step + 1, CASE WHEN list_max(ks) > best + 1e-9 THEN list_transform(c, lambda v, i: CASE WHEN i = (step + 4) % 4 + 1 THEN lo + list_position(ks, list_max(ks)) - 1 ELSE v END) ELSE c END, CASE WHEN step < 0 THEN ks[1] WHEN list_max(ks) > best + 1e-9 THEN list_max(ks) ELSE best END
+  FROM (SELECT step, c, best, lo, list_transform(es, lambda v: CASE WHEN v['e'] > 1e-12 THEN 1 - v['a'] / v['e'] ELSE 0 END) AS ks FROM (
+    SELECT *, list_transform(xs, lambda x: {{'a': ({pp}) + yy - 2 * ({py}), 'e': (n * (({pp}) + yy) - 2 * ({p}) * y) / n}}) AS es FROM (
+      SELECT st.*, g0, g1, n, y, yy, CASE WHEN step < 0 THEN c[4] WHEN step % 4 = 0 THEN 0 ELSE c[step % 4] END AS lo,
+             CASE WHEN step < 0 THEN range(c[4], c[4] + 1) ELSE range(CASE WHEN step % 4 = 0 THEN 0 ELSE c[step % 4] END, CASE WHEN step % 4 = 3 THEN (SELECT n_marks FROM size) ELSE c[step % 4 + 2] END + 1) END AS xs
+      FROM st, g, tot WHERE step < {4 * sweeps})))
+)
+SELECT cut, threshold FROM (SELECT unnest([1, 2, 3, 4])::INT AS cut, unnest(c) AS b FROM st WHERE step = {4 * sweeps}) JOIN (SELECT r AS b, m AS threshold FROM marks UNION ALL SELECT 0, min(m) - 1 FROM marks UNION ALL SELECT n_marks + 1, (SELECT max(m) + 1 FROM marks) FROM size) f USING (b)
+"""
+
+
+@query(_search_sql())
 def threshold_search(spark, sf):
     got = thresholds.search(eyes(spark, sf), scalars.LABELS)
     return spark.createDataFrame([(k + 1, float(t)) for k, t in enumerate(got)], "cut int, threshold double")
@@ -582,6 +614,19 @@ def _learn(name: str):
 for _name in ("dummy_frequent", "dummy_stratified", "logreg", "random_forest", "hist_gbm", "ordinal_gbm"):
     QUERIES[f"{_name}_predictions"] = _learn(_name)
 
+_HELD = (
+    "v AS (SELECT vec_id AS image_id, cast(vec_id // 4 AS VARCHAR) AS grp, cast(label // 2 AS INT) AS grade FROM embeddings), w AS (SELECT grp, max(grade) AS worst, md5('42:' || grp) AS h FROM v GROUP BY grp), "
+    "k AS (SELECT greatest(2, least(4, min(n))) AS k FROM (SELECT count(DISTINCT grp) AS n FROM v GROUP BY grade)), "
+    "f AS (SELECT grp, (row_number() OVER (PARTITION BY worst ORDER BY h, grp) - 1) % k = 0 AS test FROM w, k), s AS (SELECT v.*, test FROM v JOIN f ON f.grp = v.grp), "
+    "c AS (SELECT grade, count(*) AS n FROM s WHERE NOT test GROUP BY grade)"
+)
+ORACLES["dummy_frequent_predictions"] = f"WITH {_HELD}, m AS (SELECT grade FROM c ORDER BY n DESC, grade LIMIT 1) SELECT image_id, s.grade, m.grade AS prediction, m.grade::DOUBLE AS score FROM s, m WHERE test"
+ORACLES["dummy_stratified_predictions"] = (
+    f"WITH {_HELD}, l AS (SELECT unnest([0, 1, 2, 3, 4])::INT AS grade), q AS (SELECT l.grade, sum(coalesce(n, 0)) OVER (ORDER BY l.grade) / (SELECT sum(n) FROM c) AS upto FROM l LEFT JOIN c ON c.grade = l.grade), "
+    "u AS (SELECT image_id, grade, ('0x' || substr(md5('draw:' || image_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM s WHERE test) "
+    "SELECT image_id, u.grade, coalesce(min(q.grade) FILTER (WHERE u.u < q.upto), 4)::INT AS prediction, coalesce(min(q.grade) FILTER (WHERE u.u < q.upto), 4)::DOUBLE AS score FROM u, q GROUP BY image_id, u.grade"
+)
+
 
 @query()
 def leakage_audit(spark, sf):

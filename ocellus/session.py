@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import weakref
 import zipfile
 from pathlib import Path
@@ -32,6 +33,18 @@ def local_session(cores: int = 8, partitions: int = 8, name: str = "ocellus", me
     return spark
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own in the folder that driver and executors share, removed when the driver ends. On one machine any folder will do."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir")
+    if not shared and not context.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{(shared or tempfile.gettempdir()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Give the executors this package, once a context: nothing has to be installed on them."""
     context = spark.sparkContext
