@@ -105,6 +105,14 @@ def staging() -> Iterator[None]:
         discard(*_OPEN.pop())
 
 
+def partitions_for(spark: SparkSession, size: int) -> int:
+    """As many partitions as ``size`` bytes make of the advisory size, and no fewer than a shuffle's own number."""
+    each = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    got = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", each.strip().lower())
+    one = int(got[1]) << 10 * " kmgt".index(got[2] or " ") if got else 64 << 20
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // max(one, 1 << 20)))
+
+
 def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Inner join of ``rows`` (cheap to read twice) to ``keyed``, which has one row a key and in ``weight`` its number of rows.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom, bwt
-from .common import bytes_of, cut_spans, frugal, join_hot, known_rows, longs_of, parts, stage
+from .common import bytes_of, cut_spans, frugal, join_hot, known_rows, longs_of, partitions_for, parts, stage
 from .rolling import BYTE, Prefix, mix
 
 LENGTH = 100
@@ -254,7 +254,7 @@ def spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     again, hot = bloom.repeated_and_frequent(rows, _Keys(length), size * 2 // (length - GRAM) + 1, HOT)
     sent = rows.sparkSession.sparkContext.broadcast(hot)
-    dealt = rows.mapInArrow(frugal(_pieces(again, sent, length)), PIECE).repartition("deal").sortWithinPartitions("deal")
+    dealt = rows.mapInArrow(frugal(_pieces(again, sent, length)), PIECE).repartition(partitions_for(rows.sparkSession, 2 * size), "deal").sortWithinPartitions("deal")
     got = stage(dealt.mapInArrow(frugal(_bundles(length, MOST_OCCURRENCES)), SPAN), "bundles")
     out = got.where("digest is null").select(*PLACE, "end")
     much = got.where("digest is not null")
