@@ -159,7 +159,7 @@ def links(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     again, hot = bloom.repeated_and_frequent(texts, _Keys(shingle), n, CELL)
     told = stage(texts.mapInArrow(frugal(_sets(again, hot, shingle, similarity)), f"node long, fp long, n int, many int, {", ".join(f"{w} long" for w in PARITY)}, tokens array<long>, found array<long>"), "told")
     own = ["node", "n", "many", *PARITY]
-    held = told.select(*own, F.explode("tokens").alias("token")).dropDuplicates(["node", "token"])
+    held = told.select(*own, F.posexplode("tokens").alias("pos", "token")).dropDuplicates(["node", "token"])
     whole = F.struct(*own)
     ends = held.groupBy("token").agg(F.min(whole).alias("least"), F.max(whole).alias("most"), F.count("*").alias("held")).where("held > 1")
     held = stage(join_hot(held, ends, "token", "held", held.count()), "held")
@@ -173,9 +173,11 @@ def links(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     held = join_hot(held.drop("held"), apart, "token", "held", held.count()).drop("low", "high")
     held = held.withColumn("cells", F.ceil(F.col("held") / CELL).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     held = stage(held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))), "cells")
-    a = held.select("token", F.col("part").alias("i"), F.col("other").alias("j"), *(F.col(c).alias(f"a_{c}") for c in (*own, "label")))
-    b = held.select("token", F.col("other").alias("i"), F.col("part").alias("j"), *(F.col(c).alias(f"b_{c}") for c in (*own, "label")))
-    pairs = a.join(b, ["token", "i", "j"]).where("a_label < b_label").where(_fits("a_", "b_", similarity))
+    a = held.select("token", F.col("part").alias("i"), F.col("other").alias("j"), *(F.col(c).alias(f"a_{c}") for c in (*own, "label", "pos")))
+    b = held.select("token", F.col("other").alias("i"), F.col("part").alias("j"), *(F.col(c).alias(f"b_{c}") for c in (*own, "label", "pos")))
+    # what two sets share lies at or after the first shingle that both hold, so there this leaves room for enough of it
+    room = F.least(F.col("a_many") - F.col("a_pos"), F.col("b_many") - F.col("b_pos")) >= F.lit(similarity / (1 + similarity)) * (F.col("a_n") + F.col("b_n")) - F.lit(1e-6)
+    pairs = a.join(b, ["token", "i", "j"]).where("a_label < b_label").where(room).where(_fits("a_", "b_", similarity))
     pairs = pairs.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v"))
     return near.unionByName(_verified(pairs, told, similarity, "rest"))
 

@@ -280,3 +280,19 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     rows = known_rows(docs)
     return cut_spans(rows, spans(rows, length))
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, s, hash(b[s:s + 99]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 98)) AS s FROM d WHERE n >= 100)),
+f AS (SELECT h, min(doc_id) AS doc_id FROM w GROUP BY h HAVING count(*) > 1),
+r AS (SELECT w.h, f.doc_id, min(s) AS s FROM w JOIN f ON w.h = f.h AND w.doc_id = f.doc_id GROUP BY ALL),
+l AS (SELECT w.doc_id, w.s FROM w JOIN r ON w.h = r.h WHERE w.doc_id <> r.doc_id OR w.s <> r.s),
+g AS (SELECT doc_id, s, s - lag(s, 1, -1000) OVER (PARTITION BY doc_id ORDER BY s) > 100 AS new FROM l),
+p AS (SELECT doc_id, s, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM g),
+spans AS (SELECT doc_id, k, min(s) AS a, max(s) + 99 AS z FROM p GROUP BY ALL),
+by_doc AS (SELECT doc_id, count(*) AS n_spans, sum(z - a + 1)::BIGINT AS n_removed, list(a ORDER BY a) AS las, list(z ORDER BY a) AS zs FROM spans GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(array_to_string(list_transform(range(0, n_spans + 1), lambda i: hex(b[CASE WHEN i = 0 THEN 1 ELSE zs[i] + 1 END : CASE WHEN i = n_spans THEN n ELSE las[i + 1] - 1 END])), '')) END) AS kept_sha256
+FROM d LEFT JOIN by_doc ON by_doc.doc_id = d.doc_id
+"""
