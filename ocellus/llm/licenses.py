@@ -30,22 +30,60 @@ _GPL = """This program is free software: you can redistribute it and/or modify i
 published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."""
 _MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
 with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+_MIT_REST = """The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR
+ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_REST = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING,
+BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."""
+_AGPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""
+_EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available
+at https://www.eclipse.org/legal/epl-2.0/"""
+_BOOST = """Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at
+https://www.boost.org/LICENSE_1_0.txt)"""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions:"""
 _UNLICENSE = "This is free and unencumbered software released into the public domain."
 
-#: (licence, template text). Short notices and the opening or naming passages of full texts.
+#: Fixed values: (licence, template text). Short notices, the opening or naming passages of long texts, and the full texts of short licences.
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", _MIT),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
+    ("MIT", _MIT_REST),
+    ("MIT", f"{_MIT} {_MIT_REST}"),
     ("ISC", _ISC),
     ("BSD", _BSD),
+    ("BSD", _BSD_REST),
+    ("BSD-2-Clause", _BSD_2),
+    ("BSD-2-Clause", f"{_BSD_2} {_BSD_REST}"),
     ("BSD-3-Clause", _BSD_3),
+    ("BSD-3-Clause", f"{_BSD_2} 3. {_BSD_3} {_BSD_REST}"),
     ("Apache-2.0", _APACHE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-2.0", _GPL.format(2)),
     ("GPL-3.0", _GPL.format(3)),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("LGPL-2.1", _LGPL.format("2.1")),
+    ("LGPL-3.0", _LGPL.format(3)),
+    ("AGPL-3.0", _AGPL),
+    ("EPL-2.0", _EPL),
+    ("BSL-1.0", _BOOST),
+    ("Zlib", _ZLIB),
     ("MPL-2.0", _MPL),
     ("Unlicense", _UNLICENSE),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -102,7 +140,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     of every template is dropped; the others get 2 * shared / (both sizes), bigrams counted as often as they occur, with each
     template whose bounds they meet. Returns for each row doc_id, matches (unit kind, its number, licence, dice; the best template of
     a unit, ties to the later licence name), n_matches, license and dice of the best match (null without any; ties as before).
-    Null and empty texts match nothing. A null doc_id comes back null; repeated rows are scanned alike; an empty table gives no rows.
+    Null and empty texts match nothing. A null doc_id comes back null; repeated rows are scanned alike; an empty table gives no rows. Very
+    long texts are read whole, as one row's arrays; all other columns are left out, whatever their names.
     All of it is one projection: no shuffle, no Python, and nothing is gathered over rows.
     """
     grams = sorted({g for _, text in templates for g in template_bigrams(text)})

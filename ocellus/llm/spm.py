@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from .common import frugal, parts, public_id, slim
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
+NEVER = -1e7
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -58,13 +60,18 @@ def rebuild(model: bytes):
         raise ValueError("only models that mark white space before a word are supported")
     unk = next(i for i, p in enumerate(pieces) if p.type == UNKNOWN)
     if trained.model_type == UNIGRAM:
-        t = Tokenizer(models.Unigram([(p.piece, p.score) for p in pieces], unk_id=unk, byte_fallback=trained.byte_fallback))
+        # text never matches bytes and control symbols: they may not win against any other way
+        scores = [(p.piece, p.score if p.type == NORMAL else NEVER) for p in pieces]
+        t = Tokenizer(models.Unigram(scores, unk_id=unk, byte_fallback=trained.byte_fallback))
     else:
         vocab = {p.piece: i for i, p in enumerate(pieces)}
         t = Tokenizer(models.BPE(vocab, _merges(pieces), unk_token=pieces[unk].piece, fuse_unk=True, byte_fallback=trained.byte_fallback))
-    steps = [normalizers.Precompiled(norm.precompiled_charsmap)] if norm.precompiled_charsmap else []
-    if norm.remove_extra_whitespaces:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+    steps: list = []
+    if norm.precompiled_charsmap:
+        # the backend maps a line's end as one sign, the library as two
+        steps += [normalizers.Replace("\r\n", "\n\n"), normalizers.Precompiled(norm.precompiled_charsmap)]
+    if norm.remove_extra_whitespaces:  # spaces alone, and marks at the end
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("\\A +"), ""), normalizers.Replace(Regex(f"[ {MARK}]+\\z"), "")]
     steps.append(normalizers.Replace(" ", MARK))
     if norm.add_dummy_prefix:
         steps.insert(-1, normalizers.Prepend(" "))
@@ -80,12 +87,14 @@ class Codec:
     """Encodes texts with the rebuilt tokenizer, and checks each result against the SentencePiece library.
 
     Where no piece crosses a word's start, a text's ids are its words' ids one after another. Each distinct word is then
-    encoded (in multithreaded batches), compared and decoded once, and its ids kept; a full store is emptied.
+    encoded (in multithreaded batches), compared and decoded once, and its ids kept; a full store is emptied. One text in WHOLE is
+    also encoded by both as it is, and compared.
     """
 
     LINE = 256  # words encoded as one text
     LINES = 64  # texts encoded at once
     STORE = 150_000  # words kept
+    WHOLE = 32  # one text in so many, by a checksum, is encoded as a whole too
 
     def __init__(self, model: bytes, threads: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -97,9 +106,12 @@ class Codec:
         self.theirs = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = self.own.get_vocab_size()
         self.starts = np.array([(self.own.id_to_token(i) or "").startswith(MARK) for i in range(size)])
-        norm = _parse(model).normalizer_spec
+        proto = _parse(model)
+        norm = proto.normalizer_spec
         self.space = self.own.token_to_id(MARK)
-        self.by_word = self.space is not None and self.own.pre_tokenizer is not None and norm.add_dummy_prefix and not norm.remove_extra_whitespaces and not norm.precompiled_charsmap
+        # sums of a unigram model's scores run over the whole text in the library, so there equally good ways are told apart by what precedes
+        plain = norm.add_dummy_prefix and not norm.remove_extra_whitespaces and not norm.precompiled_charsmap
+        self.by_word = proto.trainer_spec.model_type == BPE and self.space is not None and self.own.pre_tokenizer is not None and plain
         self.store: dict[str, bytes] = {}
         #: words and texts whose ids differ from the library's, or that don't decode to themselves
         self.odd: set[str] = set()
@@ -174,6 +186,11 @@ class Codec:
         self.store[""] = np.array([self.space], np.int32).tobytes()  # a text's last space
         ids = [b"".join(map(get, w)) for w in split]
         same, back = [self.odd.isdisjoint(w) for w in split] if self.odd else [True] * len(split), [self.lossy.isdisjoint(w) for w in split] if self.lossy else [True] * len(split)
+        whole = [k for k, t in enumerate(texts) if zlib.crc32(t.encode()) % self.WHOLE == 0]
+        if whole:
+            some = [texts[k] for k in whole]
+            for k, a, b in zip(whole, self._encode(some), self.theirs.encode(some, num_threads=self.threads), strict=True):
+                same[k] = np.array(a, np.int32).tobytes() == np.array(b, np.int32).tobytes() == ids[k]
         return ids, same, back
 
 
@@ -207,9 +224,11 @@ def encode(docs: DataFrame, model: str | None = None, threads: int = 2) -> DataF
     """Token ids of every whole text, by a SentencePiece model file rebuilt in the tokenizers library.
 
     Returns for each row doc_id, n_tokens, ids, ids_sha256 (of the ids as little-endian 32-bit integers), parity (the
-    sentencepiece library gives the same ids) and round_trip (decoding the ids gives the text; false for texts that hold the
+    sentencepiece library gives the same ids, for the text's words, or the whole text where Codec says so; two equally good ways
+    through a unigram model may differ) and round_trip (decoding the ids gives the text; false for texts that hold the
     white-space marker itself). A null text is empty; an empty text has no tokens. A null doc_id stays null. Repeated rows are
-    encoded alike. An empty table gives no rows. ``model``: path on the driver; the file is broadcast (a vocabulary, whose size
+    encoded alike. Very long texts are encoded whole; all other columns are left out, whatever their names. An empty table gives no
+    rows. ``model``: path on the driver; the file is broadcast (a vocabulary, whose size
     doesn't follow the input).
     """
     with open(model or default_model(), "rb") as f:

@@ -52,6 +52,11 @@ def test_licences(spark):
         (6, "", None, 0),
         (7, None, None, 0),
         (8, "word " * 5000 + "\nALL RIGHTS RESERVED", "Proprietary", 1),
+        (9, "intro\n\n" + licenses._BSD_2 + "\n" + licenses._BSD_REST + "\n\nmore", "BSD-2-Clause", 1),
+        (10, "/*\n" + licenses._LGPL.format(3) + "\n*/", "LGPL-3.0", 1),
+        (11, licenses._ZLIB, "Zlib", 1),
+        (12, licenses._BOOST, "BSL-1.0", 1),
+        (12, licenses._BOOST, "BSL-1.0", 1),
         (None, "This work is licensed under the GNU General Public License, version 3.", "GPL-3.0", 1),
     ]
     df = spark.createDataFrame([(i, t, "x") for i, t, _, _ in cases], "doc_id long, text string, license string")
@@ -81,6 +86,8 @@ def test_codec_agrees_with_the_library():
     ids, same, back = codec.encode(AWKWARD * 2)
     assert [np.frombuffer(x, np.int32).tolist() for x in ids] == theirs.encode(AWKWARD * 2)
     assert all(same)
+    codec.WHOLE = 1
+    assert codec.encode(AWKWARD) == (ids[: len(AWKWARD)], same[: len(AWKWARD)], back[: len(AWKWARD)])
     assert back[: len(AWKWARD)] == ["▁" not in t for t in AWKWARD]
 
 
