@@ -66,10 +66,10 @@ def shared_dir(spark: SparkSession) -> str:
 _OPEN: list[list[DataFrame]] = []
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation.
 
-    The table is removed at the end of the ``staging`` block that it was made in, by ``discard``, or when the driver ends.
+    The table is removed at the end of the ``staging`` block that it was made in (unless ``keep``), by ``discard``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -78,7 +78,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     out._staged_at = path
     system, where = _at(spark, path)
     system.deleteOnExit(where)
-    if _OPEN:
+    if _OPEN and not keep:
         _OPEN[-1].append(out)
     return out
 

@@ -61,4 +61,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_mixing, op3_licenses, op4_line_dedup, op5_toxicity, op6_unit_dedup, op7_repetition, op8_exact_dedup, op9_sentencepiece, op10_substring_dedup, pipeline)
 }
-ORACLES: dict[str, str] = {"op3_licenses": licenses.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op7_repetition": repetition.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op10_substring_dedup": substring.ORACLE}
+ORACLES: dict[str, str] = {"op3_licenses": licenses.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op7_repetition": repetition.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op6_unit_dedup": unit_dedup.ORACLE, "op10_substring_dedup": substring.ORACLE}

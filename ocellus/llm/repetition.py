@@ -15,8 +15,8 @@ MOST = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
 #: Most percent of lines with a word that may equal an earlier line, and of their bytes.
 MOST_LINES, MOST_LINE_BYTES = 30, 20
 MIN_WORDS, MOST_REPEAT_WORDS = 50, 50
-#: Bytes of text measured at once, about: some twenty arrays of eight bytes for each.
-SLICE = 1_000_000
+#: Bytes of text measured at once, about: some twenty arrays of eight bytes for each word. A longer text is measured alone.
+SLICE = 500_000
 _SYMBOLS = b"#*$%&|<>"
 
 
@@ -42,8 +42,7 @@ def measure(texts: list[bytes], most: dict[int, int] = MOST) -> dict[str, np.nda
     out = {"n_words": words.counts(), "word_chars": words.totals(chars)}
     symbol = np.zeros(256, bool)
     symbol[list(_SYMBOLS)] = True
-    found = np.r_[0, np.cumsum(symbol[words.buf])]
-    out["n_symbols"] = found[words.offsets[1:] - 1] - found[words.offsets[:-1]]
+    out["n_symbols"] = words.count(symbol)
     lines = np.zeros((4, len(texts)), np.int64)
     for k, t in enumerate(texts):
         seen: set[bytes] = set()
@@ -80,13 +79,14 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
     Words are ``[^\x20\x09-\x0D]+``. A text fails the base rules with under 50 words, or with over half of its words inside
     3-word windows that it holds twice or more. It then also fails where the characters of words inside repeated n-grams pass the
     bounds of MOST, or repeated lines pass MOST_LINES or MOST_LINE_BYTES. Null and empty texts have zeros and fail. A null doc_id
-    comes back null; repeated rows are measured alike; an empty table gives no rows.
+    comes back null; repeated rows are measured alike; an empty table gives no rows. A very long text is measured whole, with some twenty
+    bytes of memory for each of its own; all other columns are left out, whatever their names.
     """
     return slim(docs).mapInArrow(per_batch(_measure, SLICE), MEASURES).withColumn("doc_id", public_id())
 
 
 def passes(text: F.Column) -> F.Column:
-    """The verdict as a column, for filters that keep all other columns."""
+    """The verdict as a column, for filters that keep all other columns and rows that repeat. A null or empty text doesn't pass."""
 
     @F.arrow_udf("boolean")
     def verdict(col: pa.Array) -> pa.Array:

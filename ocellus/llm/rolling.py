@@ -8,6 +8,8 @@ _RNG = np.random.Generator(np.random.PCG64(20240607))
 #: A random number for each byte, and an odd base; arithmetic is modulo 2**64.
 BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
 BASE = int(_RNG.integers(1, 2**63)) * 2 + 1
+#: Bytes that arrays of eight bytes for each are made of at a time.
+BLOCK = 1 << 20
 INVERSE = pow(BASE, -1, 2**64)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 BLANKS = np.zeros(256, bool)
@@ -69,13 +71,32 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def _blocks(self):
+        """Words of about BLOCK bytes at a time: their range, their bytes, and where these begin. Arrays by byte are never longer."""
+        a = 0
+        while a < len(self.starts):
+            b = max(a + 1, int(np.searchsorted(self.ends, self.starts[a] + BLOCK, side="right")))
+            yield a, b, self.buf[self.starts[a] : self.ends[b - 1]], self.starts[a]
+            a = b
+
     def chars(self) -> np.ndarray:
         """Code points of each word."""
-        points = np.r_[0, np.cumsum(~TAIL[self.buf])]
-        return points[self.ends] - points[self.starts]
+        out = np.zeros(len(self.starts), np.int64)
+        for a, b, part, at in self._blocks():
+            points = np.r_[0, np.cumsum(~TAIL[part])]
+            out[a:b] = points[self.ends[a:b] - at] - points[self.starts[a:b] - at]
+        return out
 
     def hashes(self) -> np.ndarray:
-        return Prefix(BYTE[self.buf])(self.starts, self.ends)
+        """The same for equal words, wherever they stand."""
+        out = np.zeros(len(self.starts), np.uint64)
+        for a, b, part, at in self._blocks():
+            out[a:b] = Prefix(BYTE[part])(self.starts[a:b] - at, self.ends[a:b] - at)
+        return out
+
+    def count(self, which: np.ndarray) -> np.ndarray:
+        """Bytes of each text that ``which``, by byte value, is true of."""
+        return np.diff(np.searchsorted(np.flatnonzero(which[self.buf]), self.offsets))
 
     def totals(self, per_word: np.ndarray) -> np.ndarray:
         """Sums by text."""

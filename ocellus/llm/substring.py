@@ -77,13 +77,38 @@ def anchors(texts: list[bytes], length: int, gram: int = GRAM) -> tuple[np.ndarr
     return text[ok], h[at[ok]], (at - begin)[ok], (lo - begin)[ok], (hi + length - begin)[ok]
 
 
+def chunks(texts: list[bytes], length: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Texts of bounded size, of which each string of ``length`` bytes is in exactly one: the chunks, their texts, and their offsets."""
+    out, of, at = [], [], []
+    for k, t in enumerate(texts):
+        for a in range(0, max(len(t) - length + 1, 1), SLICE):
+            out.append(t if len(t) <= SLICE else t[a : a + SLICE + length - 1])
+            of.append(k)
+            at.append(a)
+    return out, np.array(of, np.int64), np.array(at, np.int64)
+
+
+def _lots(texts: list[bytes]) -> Iterator[slice]:
+    """Ranges of texts with about SLICE bytes."""
+    a = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > 2 * SLICE:
+            yield slice(a, k)
+            a, size = k, 0
+        size += len(t)
+    if a < len(texts):
+        yield slice(a, len(texts))
+
+
 class _Keys:
     def __init__(self, length: int):
         self.length = length
 
     def __call__(self, whole: pa.RecordBatch) -> Iterator[np.ndarray]:
         for batch in parts(whole, most=SLICE):
-            yield anchors(bytes_of(batch, "text"), self.length)[1]
+            some = chunks(bytes_of(batch, "text"), self.length)[0]
+            for k in _lots(some):
+                yield anchors(some[k], self.length)[1]
 
 
 PLACE = ["doc_id", "row", "start"]
@@ -96,26 +121,32 @@ def _pieces(again, hot, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
+
+        def pieces(texts: list[bytes], ids: np.ndarray, rows: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
+            text, h, _, lo, hi = anchors(texts, length)
+            ok = bloom.maybe_repeated(again.value, h)
+            text, h, lo, hi = text[ok], h[ok], lo[ok], hi[ok]
+            cut = [texts[t][a:b] for t, a, b in zip(text.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+            digests = [xxhash.xxh3_64_intdigest(x) for x in cut]
+            for k, d in enumerate(digests):
+                if d in told:
+                    cut[k] = None
+                else:
+                    told.add(d)
+            if len(told) > 500_000:
+                told.clear()
+            lo, hi = lo + begin[text], hi + begin[text]
+            spread = bloom.among(h, hot.value)
+            deal = np.where(spread, mix(rows[text].view(np.uint64) + lo.astype(np.uint64)), h).view(np.int64)
+            digests = np.array(digests, np.uint64).view(np.int64)
+            cols = [deal, spread, digests, ids[text], rows[text], lo.astype(np.int32), hi.astype(np.int32)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(cut, pa.binary())], names=["deal", "spread", "digest", *PLACE, "end", "piece"])
+
         for whole in batches:
             for batch in parts(whole, most=SLICE):
-                texts, ids, rows = bytes_of(batch, "text"), longs_of(batch, "doc_id"), longs_of(batch, "row")
-                text, h, _, lo, hi = anchors(texts, length)
-                ok = bloom.maybe_repeated(again.value, h)
-                text, h, lo, hi = text[ok], h[ok], lo[ok], hi[ok]
-                cut = [texts[t][a:b] for t, a, b in zip(text.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-                digests = [xxhash.xxh3_64_intdigest(x) for x in cut]
-                for k, d in enumerate(digests):
-                    if d in told:
-                        cut[k] = None
-                    else:
-                        told.add(d)
-                if len(told) > 500_000:
-                    told.clear()
-                spread = bloom.among(h, hot.value)
-                deal = np.where(spread, mix(rows[text].view(np.uint64) + lo.astype(np.uint64)), h).view(np.int64)
-                digests = np.array(digests, np.uint64).view(np.int64)
-                cols = [deal, spread, digests, ids[text], rows[text], lo.astype(np.int32), hi.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(cut, pa.binary())], names=["deal", "spread", "digest", *PLACE, "end", "piece"])
+                some, of, begin = chunks(bytes_of(batch, "text"), length)
+                ids, rows = longs_of(batch, "doc_id")[of], longs_of(batch, "row")[of]
+                yield from (pieces(some[k], ids[k], rows[k], begin[k]) for k in _lots(some))
 
     return run
 
@@ -275,8 +306,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Returns for each row doc_id, n_bytes, spans (maximal removed runs as byte offsets of the UTF-8 text) and kept (the bytes that
     stay). A null text is empty. Texts under ``length`` bytes lose nothing. A null doc_id ranks first and comes back null. Rows with
     one doc_id, or none, and different texts are documents of their own, ranked by a digest of the text; rows equal in both are one
-    document, so they don't remove each other. Very long texts are read whole, though a task holds one with some twenty times its
-    size; all other columns are left out, whatever their names. An empty table gives no rows.
+    document, so they don't remove each other. Very long texts are read whole, in overlapping chunks; all other columns are left out, whatever their names. An empty table gives no rows.
     """
     rows = known_rows(docs)
     return cut_spans(rows, spans(rows, length))

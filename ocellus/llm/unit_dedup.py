@@ -67,7 +67,8 @@ def units(text: bytes, min_words: int, min_bytes: int) -> Iterator[tuple[bytes,
             pieces = _sentences(line)
             if len(pieces) > 1:
                 for here, p in pieces:
-                    if len(p) >= min_bytes and (len(w := p.split()) >= min_words or len(p.strip()) >= LONG):
+                    size = len(p.strip())
+                    if size >= min_bytes and (len(w := p.split()) >= min_words or size >= LONG):
                         yield xxhash.xxh3_128_digest(b" ".join(w)), at + here + len(p) - len(p.lstrip()), at + here + len(p.rstrip())
             yield xxhash.xxh3_128_digest(plain), start, end
         at += len(line) + 1
@@ -121,3 +122,29 @@ def unit_dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN
     first = some.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = join_hot(some, first, "digest", "n", some.count()).where(place != F.col("first"))
     return cut_spans(rows, later.select("doc_id", "row", "start", "end"))
+
+
+_BLANK = r"[\x20\x09-\x0D]"
+_PLAIN = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, encode(coalesce(text, '')) AS b FROM documents),
+l0 AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS i, unnest(ls) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)),
+l AS (SELECT *, coalesce(sum(octet_length(encode(x)) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, regexp_matches(x, '[^\x20\x09-\x0D]') AS has FROM l0),
+c0 AS (SELECT doc_id, i, off, unnest(generate_series(1, len(ps))) AS j, unnest(ps) AS p FROM (SELECT doc_id, i, off, regexp_extract_all(regexp_replace(regexp_replace(x, '([.!?]) ', '\1' || chr(1), 'g'),
+  '((?:。|！|？|｡|．)+(?:」|』|”|’|）|〉|》|】)*)', '\1' || chr(2), 'g'), '[^\x01\x02]*[\x01\x02]|[^\x01\x02]+$') AS ps FROM l WHERE has)),
+c AS (SELECT doc_id, i, off + coalesce(sum(octet_length(encode(p)) - (p LIKE '%' || chr(2))::INT) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, rtrim(p, chr(1) || chr(2)) AS x, count(*) OVER (PARTITION BY doc_id, i) AS n FROM c0),
+g AS (SELECT *, sum((NOT has)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l),
+pa AS (SELECT doc_id, min(off) AS off, string_agg(x, chr(10) ORDER BY i) AS x FROM g WHERE has GROUP BY doc_id, k HAVING count(*) > 1),
+u0 AS (SELECT doc_id, off, x FROM l WHERE has UNION ALL SELECT doc_id, off, x FROM c WHERE n > 1 UNION ALL SELECT doc_id, off, x FROM pa),
+u1 AS (SELECT doc_id, off + octet_length(encode(x)) - octet_length(encode(ltrim(x, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)))) AS s, trim(x, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) AS x FROM u0),
+u AS (SELECT DISTINCT doc_id, s, s + octet_length(encode(x)) AS e, md5(regexp_replace({_PLAIN.format("x")}, '{_BLANK}+', ' ', 'g')) AS h FROM u1
+  WHERE octet_length(encode(x)) >= {MIN_BYTES} AND (octet_length(encode(x)) >= {LONG} OR len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= {MIN_WORDS})),
+f AS (SELECT h, min(doc_id) AS doc_id FROM u GROUP BY h HAVING count(*) > 1), r AS (SELECT u.h, f.doc_id, min(s) AS s FROM u JOIN f ON u.h = f.h AND u.doc_id = f.doc_id GROUP BY ALL),
+later AS (SELECT u.doc_id, u.s, u.e FROM u JOIN r ON u.h = r.h WHERE u.doc_id <> r.doc_id OR u.s <> r.s),
+m AS (SELECT *, s > coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS new FROM later),
+spans AS (SELECT doc_id, k, min(s) AS a, max(e) AS z FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m) GROUP BY ALL),
+by_doc AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, list(a ORDER BY a) AS las, list(z ORDER BY a) AS zs FROM spans GROUP BY doc_id)
+SELECT d.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(array_to_string(list_transform(range(0, n_spans + 1), lambda i: hex(b[CASE WHEN i = 0 THEN 1 ELSE zs[i] + 1 END : CASE WHEN i = n_spans THEN octet_length(b) ELSE las[i + 1] END])), '')) END) AS kept_sha256
+FROM d LEFT JOIN by_doc ON by_doc.doc_id = d.doc_id
+"""
