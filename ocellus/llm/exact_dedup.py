@@ -41,7 +41,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
     Returns for each row doc_id, keep_id (the group's largest doc_id), group_size (rows), kept, text_sha256. A null text counts
     as empty; empty texts are one group. A null doc_id ranks below all others and comes back null. Rows that repeat a
-    doc_id count in group_size, and all rows that hold the largest id are kept. An empty table gives no rows.
+    doc_id count in group_size, and all rows that hold the largest id are kept. Very long texts are read whole; all other columns are left
+    out, whatever their names. An empty table gives no rows.
     """
     rows = slim(docs)
     total = rows.count()

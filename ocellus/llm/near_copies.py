@@ -187,7 +187,8 @@ def survivors(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMIL
 
     Texts are near copies if their sets of ``shingle`` words have a Jaccard similarity of ``similarity`` at least; groups are what such
     steps join, and texts without words are one group. The row with the smallest doc_id stays, a null one ranks first; of rows of
-    the group that repeat it, the one with the smallest text. Rows with the same id in different groups don't touch each other.
+    the group that repeat it, the one with the smallest text. Rows with the same id in different groups don't touch each other. Very long
+    texts are read whole; all other columns stay, whatever their names. An empty table gives no rows.
     """
     key, digest = unused("id_key", docs.columns), unused("id_digest", docs.columns)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))

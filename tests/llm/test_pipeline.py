@@ -51,3 +51,35 @@ def test_first_stages_against_brute_force(spark, docs, rows):
     mixed = cp.mix(spark, now, "").collect()
     assert abs(sum(len(r.text.split()) for r in mixed) - 1.5 * words) <= 64 * 6
     assert all(set(r.text.split()) <= set(want[r.doc_id].split()) for r in mixed)
+
+
+def test_run_leaves_its_result_alone(spark, docs, tmp_path, monkeypatch):
+    """Whatever the stages stage is removed; the result is there."""
+    from ocellus.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path / "shared"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = cp.run(spark, str(tmp_path))
+    assert [p.name for p in (tmp_path / "shared").iterdir()] == [got._staged_at.rsplit("/", 1)[1]] and got.count() > 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    import pytest
+
+    from ocellus.llm.common import shared_dir
+
+    class Context:
+        def __init__(self, master):
+            self.master = master
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        def __init__(self, master):
+            self.sparkContext, self.conf = Context(master), type("Conf", (), {"get": staticmethod(lambda k, d: d)})
+
+    assert shared_dir(Session("local[8]"))
+    for master in ("yarn", "k8s://x", "spark://x:7077", "local-cluster[2,1,512]"):
+        with pytest.raises(ValueError):
+            shared_dir(Session(master))
