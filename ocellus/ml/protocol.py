@@ -96,10 +96,10 @@ def leakage_audit(rows: DataFrame, columns: list[str], name: str, cfg: Config, l
 def permutation_importance(model: Fitted, test: DataFrame, columns: list[str], repeats: int, seed: int = 42, labels=LABELS, at_once: int = 16) -> DataFrame:
     """feature, importance, std, family: the loss of agreement when a column's values change rows.
 
-    Rows are numbered; for each column and repeat, row i takes the value of row (a i + b) mod n with a prime to n. That is one join on
-    the number for ``at_once`` columns, and one aggregate gives all their agreements.
+    Rows are numbered; for each column and repeat, row i takes the value of row (a i + b) mod n with a prime to n. Only the numbers and
+    the values that move are shuffled, for ``at_once`` columns at a time; a row then meets its own new values (at_once * repeats of
+    them), and whole rows stay where they are. One aggregate gives the agreements of all these columns and repeats.
     """
-    spark = test.sparkSession
     numbered = running(test.select("image_id", "grade", *columns).withColumn("h", F.md5(F.col("image_id").cast("string"))), F.conv(F.substring("h", 1, 3), 16, 10).cast("int"), [F.col("h"), F.col("image_id")], {"i": F.lit(1)}).withColumn("i", (F.col("i") - 1).cast("long")).drop("h").persist()
     n = numbered.count()
     base = QwkEvaluator(labels).evaluate(model.transform(numbered))
@@ -108,15 +108,15 @@ def permutation_importance(model: Fitted, test: DataFrame, columns: list[str], r
     out = None
     for at in range(0, len(columns), at_once):
         some = columns[at : at + at_once]
-        plan = spark.createDataFrame([(c, r, int(rng.choice(primes)), int(rng.integers(0, max(n, 1)))) for c in some for r in range(repeats)], "feature string, repeat int, a long, b long")
-        value = F.create_map(*[x for c in some for x in (F.lit(c), F.col(c).cast("double"))])
-        source = numbered.select(F.col("i").alias("j"), value.alias("values"))
-        moved = numbered.join(F.broadcast(plan)).withColumn("j", F.pmod(F.col("a") * F.col("i") + F.col("b"), F.lit(n))).join(source, "j")
-        for c in some:
-            moved = moved.withColumn(c, F.when(F.col("feature") == c, F.col("values")[c]).otherwise(F.col(c).cast("double")))
-        pred = model.transform(moved.drop("values", "j", "a", "b"))
-        pairs = pred.select("feature", "repeat", F.col("grade").alias("y"), F.col("prediction").cast("int").alias("p"))
-        part = pairs.groupBy("feature", "repeat").agg(metrics.kappa_columns(labels).alias("qwk"))
+        plan = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("repeat"), F.lit(int(rng.choice(primes))).cast("long").alias("a"), F.lit(int(rng.integers(0, max(n, 1)))).cast("long").alias("b")) for k in range(len(some)) for r in range(repeats)])
+        wanted = numbered.select("i", F.explode(plan).alias("x")).select("i", "x.k", "x.repeat", F.pmod(F.col("x.a") * F.col("i") + F.col("x.b"), F.lit(n)).alias("j"))
+        source = numbered.select(F.col("i").alias("j"), F.array(*[F.col(c).cast("double") for c in some]).alias("values"))
+        new = wanted.join(source, "j").select("i", F.struct("k", "repeat", F.col("values")[F.col("k")].alias("value")).alias("x")).groupBy("i").agg(F.collect_list("x").alias("new"))
+        moved = numbered.join(new, "i").withColumn("x", F.explode("new"))
+        moved = moved.select("image_id", "grade", F.col("x.k").alias("k"), F.col("x.repeat").alias("repeat"), *[F.when(F.col("x.k") == some.index(c), F.col("x.value")).otherwise(F.col(c).cast("double")).alias(c) if c in some else F.col(c) for c in columns])
+        pairs = model.transform(moved).select("k", "repeat", F.col("grade").alias("y"), F.col("prediction").cast("int").alias("p"))
+        names = F.array(*[F.lit(c) for c in some])
+        part = pairs.groupBy("k", "repeat").agg(metrics.kappa_columns(labels).alias("qwk")).select(names[F.col("k")].alias("feature"), "repeat", "qwk")
         out = part if out is None else out.unionByName(part)
     family = F.split("feature", "_")[0]
     got = out.groupBy("feature").agg(F.avg(F.lit(base) - F.col("qwk")).alias("importance"), F.stddev_pop("qwk").alias("std"))

@@ -1,5 +1,6 @@
 """Manifest, quality, splits, metrics, thresholds and resampling: contracts, degenerate cases, golden values."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -228,3 +229,40 @@ def test_scores(spark):
     assert scalars.refer(F.col("p"), math.nan) is None
     odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,), (2.0,)], "x double")
     assert [r[0] for r in odd.select(scalars.finite(F.col("x"))).collect()] == [0.0, 0.0, 0.0, 2.0]
+
+
+def test_permutation_importance_against_moved_rows(spark):
+    """The loss of agreement, recomputed by moving the values by hand."""
+    from ocellus.ml import protocol
+
+    class Sum:
+        """Predicts the sum of two columns, cut to the grades."""
+
+        @staticmethod
+        def transform(df):
+            return df.withColumn("prediction", F.least(F.lit(4), F.greatest(F.lit(0), F.round(F.col("colour_a") + F.col("zone0_b")))).cast("int"))
+
+    rng = np.random.default_rng(3)
+    a, b, c = rng.integers(0, 3, 60).tolist(), rng.integers(0, 3, 60).tolist(), rng.normal(size=60).tolist()
+    rows = [(k, min(4, a[k] + b[k]), float(a[k]), float(b[k]), c[k]) for k in range(60)]
+    df = spark.createDataFrame(rows, "image_id long, grade int, colour_a double, zone0_b double, odd_c double").repartition(3)
+    columns = ["colour_a", "zone0_b", "odd_c"]
+    got = {r.feature: r for r in protocol.permutation_importance(Sum, df, columns, 4, seed=5, at_once=2).collect()}
+    assert {k: r.family for k, r in got.items()} == {"colour_a": "colour", "zone0_b": "zone", "odd_c": "other"}
+    order = sorted(rows, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0]))
+    draw = np.random.default_rng(5)
+    primes = [p for p in range(20, 130) if math.gcd(p, 60) == 1][:1000]
+    for at in range(3):
+        losses = []
+        for _ in range(4):
+            p, q = int(draw.choice(primes)), int(draw.integers(0, 60))
+            y, told = [], []
+            for i, r in enumerate(order):
+                v = list(r)
+                v[2 + at] = order[(p * i + q) % 60][2 + at]
+                y.append(r[1])
+                told.append(min(4, max(0, round(v[2] + v[3]))))
+            pairs = spark.createDataFrame(list(zip(y, told, strict=True)), "y int, p int")
+            losses.append(1 - metrics.qwk(pairs).first().qwk)
+        r = got[columns[at]]
+        assert r.importance == pytest.approx(np.mean(losses)) and r.std == pytest.approx(np.std(losses))
