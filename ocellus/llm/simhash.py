@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import accumulate, product
 
@@ -22,6 +23,9 @@ N_TILES = SIDE**4
 CELL = 16_384
 #: Fingerprints that one task deals; bytes that it packs at a time; comparisons, and bytes read, of one task that compares.
 DEAL, PACK, TASK_PAIRS, TASK_BYTES = 65_536, 8_000_000, 2_000_000_000, 16_000_000
+#: Bytes of a text whose shingles are held at a time.
+PART = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _DIGITS = np.array([SIDE**3, SIDE**2, SIDE, 1])
 
 
@@ -41,27 +45,51 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
         out[rows] = np.packbits(2 * ones > n[:, None], axis=1).view(">u8").ravel()
         held.clear(), rows.clear(), sizes.clear()
 
-    digest = xxhash.xxh64_digest
     for k, text in enumerate(texts):
-        words = text.lower().split()
-        if not words:
-            continue
-        joined = b" ".join(words)
-        if len(words) <= shingle:
-            got = [digest(joined, SEED)]
-        else:
-            ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
-            starts = [0, *(e + 1 for e in ends[: -shingle])]
-            got = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=True)]
-        held += got
-        rows.append(k)
-        sizes.append(len(got))
-        if len(held) > 200_000:
-            settle()
+        got = []
+        ones, n = None, 0
+        tail: list[bytes] = []
+        for part in _parts(text):
+            words = tail + part.lower().split()
+            got = digests(words, shingle)
+            if len(text) > PART and len(words) >= shingle:  # a long text's shingles are counted part by part
+                bits = np.unpackbits(np.frombuffer(b"".join(got), np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+                ones, n = bits if ones is None else ones + bits, n + len(got)
+            tail = words[len(words) - shingle + 1 :] if len(words) >= shingle else words
+        if ones is not None:
+            out[k] = np.packbits(2 * ones > n).view(">u8")[0]
+        elif got:
+            held += got
+            rows.append(k)
+            sizes.append(len(got))
+            if len(held) > 200_000:
+                settle()
     settle()
     return out
 
 
+def digests(words: list[bytes], shingle: int) -> list[bytes]:
+    """Of every shingle; of all words together, if they are fewer than a shingle's; none of none."""
+    if not words:
+        return []
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return [xxhash.xxh64_digest(joined, SEED)]
+    ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
+    starts = [0, *(e + 1 for e in ends[:-shingle])]
+    return [xxhash.xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=True)]
+
+
+def _parts(text: bytes) -> Iterator[bytes]:
+    """The text in parts of about PART bytes, cut before a blank."""
+    a = 0
+    while a < len(text):
+        cut = _BLANK.search(text, a + PART) if len(text) - a > PART else None
+        b = cut.start() if cut else len(text)
+        yield text[a:b]
+        a = b
+
+
 def _prints(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(bytes_of(batch, "text")).view(np.int64))], names=["doc_id", "fp"])
 
@@ -247,8 +275,8 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     words: all of them; none: fingerprint zero). Fingerprints link at ``radius`` differing bits or fewer. Returns for each row doc_id,
     fingerprint (16 lower-case hex digits) and component_id, the smallest doc_id that links lead to, its own included. Null and
     empty texts have no words. A null doc_id ranks below all others and comes back null, in component_id too. Rows that repeat a doc_id
-    are fingerprinted apart, and repeated rows are one node. Very long texts are read whole; all other columns are left out, whatever
-    their names. An empty table gives no rows.
+    are fingerprinted apart, and repeated rows are one node. Very long texts are read whole, part by part; all other columns are left out,
+    whatever their names. An empty table gives no rows.
     """
     rows = stage(slim(docs).mapInArrow(per_batch(_prints), "doc_id long, fp long"), "prints")
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")

@@ -4,10 +4,10 @@ import random
 
 import numpy as np
 import pytest
-from test_dedup import digest, substrings
+from test_dedup import digest, simhash_of, substrings
 from test_text import brute_rules
 
-from ocellus.llm import repetition, rolling, substring
+from ocellus.llm import repetition, rolling, simhash, substring
 
 
 @pytest.mark.parametrize("block", [1, 7, 300])
@@ -44,3 +44,12 @@ def test_long_text_with_repeats(spark):
     rows = [(1, noise(50) + shared), (2, long), (3, long[near - 500 : near + 900])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert digest(substring.substring_dedup(df)) == substrings(rows)
+
+
+@pytest.mark.parametrize("part", [1, 9, 60])
+def test_fingerprints_part_by_part(monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART", part)
+    rng = random.Random(part)
+    texts = [" \n".join(rng.choice(["a", "bb", "Ccc", "é", "w" * 30]) for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 50, 200)]
+    texts += ["", "  ", "x" * 100, "x" * 100 + " y", " lead and trail "]
+    assert simhash.fingerprints([t.encode() for t in texts]).tolist() == [simhash_of(t) for t in texts]
