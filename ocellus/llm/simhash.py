@@ -119,8 +119,7 @@ def _deal(cells, radius: int):
         of = cells.value
         out: list[tuple[int, int, bool, bytes]] = []
         size = 0
-        for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
+        for fp in _many(batches):
             tile = tiles(fp)
             order = np.argsort(tile, kind="stable")
             fp, tile = fp[order], tile[order]
@@ -138,6 +137,18 @@ def _deal(cells, radius: int):
     return run
 
 
+def _many(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Fingerprints, about DEAL at a time: the more of a tile are packed together, the fewer rows there are."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        held.append(batch.column(0).to_numpy().view(np.uint64))
+        if sum(map(len, held)) >= DEAL:
+            yield np.concatenate(held)
+            held = []
+    if held:
+        yield np.concatenate(held)
+
+
 def _sendings(t: int, own: np.ndarray, of: np.ndarray, steps: np.ndarray) -> Iterator[tuple[int, int, bool, bytes]]:
     """(tile, cell, whether as a guest, fingerprints) of what a tile's fingerprints are compared in."""
     n = int(of[t])
