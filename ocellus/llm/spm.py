@@ -93,7 +93,7 @@ class Codec:
 
     LINE = 256  # words encoded as one text
     LINES = 64  # texts encoded at once
-    STORE = 150_000  # words kept
+    STORE = 350_000  # words kept
     WHOLE = 32  # one text in so many, by a checksum, is encoded as a whole too
 
     def __init__(self, model: bytes, threads: int):
