@@ -105,6 +105,11 @@ def staging() -> Iterator[None]:
         discard(*_OPEN.pop())
 
 
+def small_table(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A table of the driver's. It goes by Arrow: rows of Python objects would take Python workers of their own on the executors."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def partitions_for(spark: SparkSession, size: int) -> int:
     """As many partitions as ``size`` bytes make of the advisory size, and no fewer than a shuffle's own number."""
     each = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")

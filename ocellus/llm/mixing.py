@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bytes_of, longs_of, public_id, stage
+from .common import NULL_ID, bytes_of, longs_of, public_id, small_table, stage
 
 WEIGHTS, SHARE, MOST_TIMES = (3, 1, 2), 1.5, 2
 BLOCK = 64  # words
@@ -144,11 +144,14 @@ class Mix:
         n_shards = int(min(MOST_SHARDS, max(1, -(-quota.sum() // SLOTS))))
         plan = draw(quota, n_shards, seed)
         first = np.cumsum(plan, axis=0) - plan
-        self.sources = spark.createDataFrame([(r["src"], r["size"], t, int(n), int(q)) for r, t, n, q in zip(got, wanted, n_blocks, quota, strict=True)], "src string, source_size long, target double, n_blocks long, quota long")
-        shards = [(r["src"], k, j, int(n_blocks[k]), int(first[j, k]), int(plan[j, k])) for k, r in enumerate(got) for j in range(n_shards) if plan[j, k]]
+        names, counts = pa.array([r["src"] for r in got], pa.string()), lambda x: pa.array(np.asarray(x, np.int64))
+        self.sources = small_table(spark, src=names, source_size=counts(sizes), target=pa.array(np.asarray(wanted, float)), n_blocks=counts(n_blocks), quota=counts(quota))
+        j, k = np.nonzero(plan) if got else (np.zeros(0, np.int64),) * 2
         # the plan is small, so the number of its partitions is stated: as many as the slots need
         tasks = int(min(max(1, -(-quota.sum() // TASK)), 20_000))
-        plan_df = spark.createDataFrame(shards, "src string, k int, shard int, n_blocks long, first long, n long")
+        of = np.asarray(n_blocks, np.int64)[k] if got else k
+        dealt_by = (first[j, k], plan[j, k]) if got else (k, k)
+        plan_df = small_table(spark, src=names.take(counts(k)), k=pa.array(k.astype(np.int32)), shard=pa.array(j.astype(np.int32)), n_blocks=counts(of), first=counts(dealt_by[0]), n=counts(dealt_by[1]))
         ranges = plan_df.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RANGE).cast("long")))).repartition(tasks, "src", "shard", "lo")
         slot = F.explode(F.sequence("lo", F.least(F.col("lo") + RANGE, "n") - 1))
         dealt = ranges.select("src", "k", "shard", "n_blocks", "first", slot.alias("slot")).select("src", "k", "shard", "n_blocks", "slot", (F.col("first") + F.col("slot")).alias("at"))

@@ -93,7 +93,7 @@ class Codec:
 
     LINE = 256  # words encoded as one text
     LINES = 64  # texts encoded at once
-    STORE = 350_000  # words kept
+    STORE = 250_000  # words kept
     WHOLE = 32  # one text in so many, by a checksum, is encoded as a whole too
 
     def __init__(self, model: bytes, threads: int):
@@ -117,6 +117,10 @@ class Codec:
         self.odd: set[str] = set()
         self.lossy: set[str] = set()
 
+    def forget(self) -> None:
+        for kept in (self.store, self.odd, self.lossy):
+            kept.clear()
+
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -177,9 +181,7 @@ class Codec:
         split = [self._words(t) for t in texts]
         new = set().union(*split).difference(self.store)
         if len(self.store) + len(new) > self.STORE:
-            self.store.clear()
-            self.odd.clear()
-            self.lossy.clear()
+            self.forget()
             new = set().union(*split)
         self._learn(new)
         get = self.store.__getitem__
@@ -216,6 +218,7 @@ def _encoder(model, threads: int, names: list[str]):
                 tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 cols = [*kept, pa.array(np.diff(ends), pa.int64()), tokens, pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_tokens", "ids", "ids_sha256", "parity", "round_trip"])
+        codec.forget()  # the worker may do other things next
 
     return run
 

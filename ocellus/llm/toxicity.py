@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bytes_of, frugal, longs_of, parts, per_batch, public_id, slim, stage
+from .common import NULL_ID, bytes_of, frugal, longs_of, parts, per_batch, public_id, slim, small_table, stage
 from .rolling import Words
 
 #: Feature space; most labelled rows that a fit reads as confirmed and as unlabelled texts; and most word features of all of them.
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     texts = rows.count()
     wanted = (found[0] >= LEAST_SHARE * texts) | (found[1] >= max(LEAST_TOXIC, LEAST_TOXIC_SHARE * len(positive)))
     idf = np.where(wanted & (found[0] > 0), np.log((1 + texts) / (1 + found[0])) + 1, 0.0)
-    chosen = spark.createDataFrame([(i,) for i in sorted({*positive, *unlabelled})], "doc_id long")  # at most both bounds
+    chosen = small_table(spark, doc_id=pa.array(sorted({*positive, *unlabelled}), pa.int64()))  # at most both bounds
     some = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     table = stage(some.mapInArrow(_featuriser(spark.sparkContext.broadcast(idf)), FEATURES), "features")
     size = {r["doc_id"]: r["size"] for r in table.select("doc_id", "size").collect()}
@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
         left -= sum(size[i] for i in ids[share])
     if not ids[4] or not ids[1]:
         return None
-    use = spark.createDataFrame([(i,) for i in {*ids[4], *ids[1]}], "doc_id long")
+    use = small_table(spark, doc_id=pa.array(sorted({*ids[4], *ids[1]}), pa.int64()))
     got = {r["doc_id"]: r for r in table.join(F.broadcast(use), "doc_id").collect()}
     pos, unl = (weighted(*_joined([got[i] for i in kind]), idf) for kind in (ids[4], ids[1]))
     del got
