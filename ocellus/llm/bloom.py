@@ -28,8 +28,8 @@ MAX_TASKS = 1024
 FREQUENT_SHARE = 1 << 16
 
 
-def n_bits(n_keys: int) -> int:
-    return min(MAX_BITS, max(MIN_BITS, 1 << (max(n_keys, 1) * BITS_PER_KEY - 1).bit_length()))
+def n_bits(n_keys: int, most: int = MAX_BITS) -> int:
+    return min(most, max(MIN_BITS, 1 << (max(n_keys, 1) * BITS_PER_KEY - 1).bit_length()))
 
 
 def _positions(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,13 +144,13 @@ def among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
     return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
 
 
-def repeated_and_frequent(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], n_keys: int, limit: int) -> tuple[Broadcast, np.ndarray]:
+def repeated_and_frequent(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], n_keys: int, limit: int, most_bits: int = MAX_BITS) -> tuple[Broadcast, np.ndarray]:
     """The bitmap and, sorted, the keys that occur over 1.5 * limit times, with some of those over half the limit.
 
     ``limit`` is n_keys / FREQUENT_SHARE at least, so fewer than 2 * FREQUENT_SHARE keys (1 MB) are gathered, whatever the input. A key
     over the limit makes up more than its even share of some task's chunk; only such keys are counted, in buckets by key.
     """
-    bits = n_bits(n_keys)
+    bits = n_bits(n_keys, most_bits)
     limit = limit and max(limit, n_keys // FREQUENT_SHARE)
     chunks = min(df.rdd.getNumPartitions(), MAX_TASKS) + n_keys // CHUNK + 1 if limit else 0
     often = max(2, limit // chunks) if limit else 0

@@ -23,6 +23,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 CELL = 1000
 #: Text that a task holds the shingles of at a time.
 SLICE = 500_000
+#: Most bits of the filter of repeated shingles. Half of the others may pass it: a set is sent only if four fifths of its shingles do.
+FILTER = 1 << 26
 #: 64-bit words of a set's parity bits, and their columns.
 WORDS = 8
 PARITY = [f"w{k}" for k in range(WORDS)]
@@ -156,7 +158,7 @@ def links(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = size // 6 + 1
-    again, hot = bloom.repeated_and_frequent(texts, _Keys(shingle), n, CELL)
+    again, hot = bloom.repeated_and_frequent(texts, _Keys(shingle), n, CELL, FILTER)
     told = stage(texts.mapInArrow(frugal(_sets(again, hot, shingle, similarity)), f"node long, fp long, n int, many int, {", ".join(f"{w} long" for w in PARITY)}, tokens array<long>, found array<long>"), "told")
     own = ["node", "n", "many", *PARITY]
     held = told.select(*own, F.posexplode("tokens").alias("pos", "token")).dropDuplicates(["node", "token"])
