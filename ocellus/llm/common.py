@@ -95,6 +95,14 @@ def discard(*tables: DataFrame) -> None:
         system.delete(where, True)
 
 
+def finished(*tables: DataFrame) -> None:
+    """Remove staged tables that no later result reads, and the shuffle files of finished jobs: Spark keeps those until the driver's garbage
+    is collected, which a driver with little to do puts off until they fill the disk."""
+    discard(*tables)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def staging() -> Iterator[None]:
     """Tables staged inside are removed at the end: what is to stay must have been written by then."""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom, simhash
-from .common import NULL_ID, bytes_of, frugal, join_hot, per_batch, parts, slim, stage, unused
+from .common import NULL_ID, bytes_of, finished, frugal, join_hot, per_batch, parts, slim, stage, unused
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -23,8 +23,16 @@ SHINGLE, SIMILARITY = 5, 0.8
 CELL = 1000
 #: Text that a task holds the shingles of at a time.
 SLICE = 500_000
-#: Most bits of the filter of repeated shingles. Half of the others may pass it: a set is sent only if four fifths of its shingles do.
-FILTER = 1 << 26
+#: Two sets with the similarity share one shingle in LEVEL of the smaller one, and one at least, among their first ones.
+LEVEL = 20
+#: Shingles of a bucket, about, and of what a task deals at a time.
+BUCKET, DEAL = 500_000, 1_000_000
+#: Shingles held by more than one in SHARE of all that are counted, and by 4 * CELL sets, are gathered on the driver: 2 * SHARE at most.
+SHARE = 1 << 16
+#: Stands for the number of sets that hold such a shingle.
+MANY = (1 << 31) - 1
+#: Most bits of the map of sets to be fetched whole. Others may pass it, and are dropped by a join.
+MAP_BITS = 1 << 26
 #: 64-bit words of a set's parity bits, and their columns.
 WORDS = 8
 PARITY = [f"w{k}" for k in range(WORDS)]
@@ -69,73 +77,210 @@ def _rows(shingle: int):
     return per_batch(run, SLICE)
 
 
-class _Keys:
-    def __init__(self, shingle: int):
-        self.shingle = shingle
+def level(n: F.Column | int) -> F.Column | int:
+    """How many shingles two sets share among their first ones, if the smaller one has n. It never falls with n."""
+    return F.floor((n + (LEVEL - 1)) / LEVEL).cast("int") if isinstance(n, F.Column) else (n + LEVEL - 1) // LEVEL
 
-    def __call__(self, whole: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for batch in parts(whole, most=SLICE):
-            yield np.concatenate([shingles(t, self.shingle) for t in bytes_of(batch, "text")])
 
+def _least(n: F.Column | int, similarity: float) -> F.Column | int:
+    """Shingles that a set of n shares with one of the similarity, and that such a set has, at least."""
+    got = similarity * n - 1e-9
+    return F.ceil(got).cast("int") if isinstance(n, F.Column) else math.ceil(got)
 
-def _sets(again, hot: np.ndarray, shingle: int, similarity: float):
-    """Sets that can have a near copy, with the shingles of which it must hold one.
 
-    Shingles are ordered by rarity: those of one text, those that repeat, the hot ones. Of two sets with the similarity each has at
-    least its share in common, so its first shingles, one more than may differ, hold one of the other's first. Those of one text
-    can't be it and aren't sent.
-    """
+def _firsts(shingle: int, similarity: float):
+    """Each set with its first shingles in the order of their hashes: so many that two sets with the similarity share ``level`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
+        kinds = (pa.int64(), pa.int64(), pa.int32(), *([pa.int64()] * WORDS), pa.list_(pa.int64()))
         for whole in batches:
             for batch in parts(whole, most=SLICE):
                 out = []
                 for text in bytes_of(batch, "text"):
                     found = shingles(text, shingle)
                     n = len(found)
-                    rest = bloom.maybe_repeated(again.value, found)
-                    many = int(rest.sum())
-                    send = n - math.ceil(similarity * n - 1e-9) + 1 - (n - many)
-                    if not n or send <= 0 or (node := _node(found)) in told:
+                    if not n or (node := _node(found)) in told:
                         continue
                     told.add(node)
-                    some = found[rest]
-                    if len(hot):
-                        some = some[np.argsort(bloom.among(some, hot), kind="stable")]
-                    out.append((node, fingerprint(found), n, many, *parity(found).tolist(), some[:send].view(np.int64), found.view(np.int64)))
+                    out.append((node, fingerprint(found), n, *parity(found).tolist(), found[: n - _least(n, similarity) + level(n)].view(np.int64)))
                 if len(told) > 100_000:
                     told.clear()
-                cols = list(zip(*out, strict=True)) if out else [()] * (6 + WORDS)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), *([pa.int64()] * WORDS), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["node", "fp", "n", "many", *PARITY, "tokens", "found"])
+                cols = list(zip(*out, strict=True)) if out else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["node", "fp", "n", *PARITY, "tokens"])
+
+    return run
+
+
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shingles and the sets that hold them, about DEAL at a time, of rows node, tokens."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        col = batch.column(1)
+        nodes = np.repeat(batch.column(0).to_numpy(), np.diff(col.offsets.to_numpy()))
+        held.append((col.flatten().to_numpy(), nodes))
+        n += len(nodes)
+        if n >= DEAL:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _often(often: int):
+    """Shingles that one lot of a task holds over ``often`` times, and how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, _ in _flat(batches):
+            k, n = np.unique(tokens, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k[n > often]), pa.array(n[n > often])], names=["token", "held"])
+
+    return run
+
+
+def _deal(hot: np.ndarray, buckets: int):
+    """Shingles that aren't hot, packed by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, nodes in _flat(batches):
+            cold = ~bloom.among(tokens, hot)
+            tokens, nodes = tokens[cold], nodes[cold]
+            bucket = (tokens.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket, tokens, nodes = bucket[order], tokens[order], nodes[order]
+            edge = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)] if len(bucket) else np.zeros(1, int)
+            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]], pa.int32()), cut(tokens), cut(nodes)], names=["bucket", "tokens", "nodes"])
 
     return run
 
 
+def _hot_rows(hot: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, nodes in _flat(batches):
+            ok = bloom.among(tokens, hot)
+            yield _held(nodes[ok], tokens[ok], np.full(int(ok.sum()), MANY))
+
+    return run
+
+
+def _held(nodes: np.ndarray, tokens: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(tokens), pa.array(held.astype(np.int32))], names=["node", "token", "held"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packed buckets, which come one after the other, the shingles that several sets hold, with these sets and their number."""
+    key, tokens, nodes = None, [], []
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        if not tokens:
+            return
+        t, s = np.concatenate(tokens), np.concatenate(nodes)
+        order = np.lexsort((s, t))
+        t, s = t[order], s[order]
+        new = np.r_[True, t[1:] != t[:-1]]
+        one = new | np.r_[True, s[1:] != s[:-1]]  # equal sets of different tasks
+        t, s, new = t[one], s[one], new[one]
+        edge = np.flatnonzero(new)
+        n = np.repeat(np.diff(np.r_[edge, len(t)]), np.diff(np.r_[edge, len(t)]))
+        several = n > 1
+        t, s, n = t[several], s[several], n[several]
+        for a in range(0, len(t), 10_000):
+            yield _held(s[a : a + 10_000], t[a : a + 10_000], n[a : a + 10_000])
+
+    for batch in batches:
+        for bucket, some, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if bucket != key:
+                yield from settle()
+                key, tokens, nodes = bucket, [], []
+            tokens.append(np.frombuffer(some, np.int64))
+            nodes.append(np.frombuffer(own, np.int64))
+    yield from settle()
+
+
+def _sets(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Sets that can have a near copy, with their attributes and the shingles of which they must hold one: node, fp, n, many, parity, tokens.
+
+    First shingles are counted by bucket, so no filter has to hold them all, and nothing of a set is moved but these. Of those that
+    several sets hold, two sets with the similarity share ``level``: a set with fewer is left out, and of the others all but so many, by
+    rarity, hold one of the other's. Equal numbers are in the order of the hashes.
+    """
+    first = stage(texts.mapInArrow(frugal(_firsts(shingle, similarity)), f"node long, fp long, n int, {", ".join(f"{w} long" for w in PARITY)}, tokens array<long>"), "firsts")
+    flat = first.select("node", "tokens")
+    total = flat.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    limit = max(4 * CELL, total // SHARE)
+    lots = flat.rdd.getNumPartitions() + total // DEAL
+    often = flat.mapInArrow(frugal(_often(max(2, limit // lots))), "token long, held long")
+    hot = often.groupBy("token").agg(F.sum("held").alias("held")).where(2 * F.col("held") > limit).select("token")
+    hot = np.sort(np.array([r["token"] for r in hot.toLocalIterator()], np.int64))
+    buckets = total // BUCKET + 1
+    dealt = flat.mapInArrow(frugal(_deal(hot, buckets)), "bucket int, tokens binary, nodes binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    held = dealt.mapInArrow(frugal(_count), "node long, token long, held int")
+    if len(hot):
+        held = held.unionByName(flat.mapInArrow(frugal(_hot_rows(hot)), "node long, token long, held int"))
+    by_set = held.groupBy("node").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("held", "token")))).alias("tokens"))
+    own = first.drop("tokens").dropDuplicates(["node"]).join(by_set.hint("shuffle_hash"), "node").withColumn("many", F.size("tokens"))
+    need = level(_least(F.col("n"), similarity))
+    kept = own.where(F.col("many") >= need).withColumn("tokens", F.slice(F.col("tokens")["token"], F.lit(1), F.col("many") - need + 1))
+    kept = stage(kept.select("node", "fp", "n", "many", *PARITY, "tokens"), "told")
+    finished(first)
+    return kept
+
+
+def _whole(texts: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
+    """node, found: all shingles of the sets ``ends`` (node), made again from their texts. A map of bits spares most of the others."""
+    ends = stage(ends, "ends")
+    bits = min(MAP_BITS, max(1 << 16, 1 << (16 * ends.count()).bit_length()))
+    at = F.pmod("node", F.lit(bits)) + 1
+    marked = np.zeros(bits // 8, np.uint8)
+    for row in ends.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toLocalIterator():
+        got = np.frombuffer(bytes(row["bits"]), np.uint8)
+        marked[(row["k"] - 1) * len(got) : row["k"] * len(got)] = got
+    sent = texts.sparkSession.sparkContext.broadcast(marked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in parts(whole, most=SLICE):
+                out = []
+                for text in bytes_of(batch, "text"):
+                    found = shingles(text, shingle)
+                    if len(found):
+                        p = (node := _node(found)) % bits
+                        if sent.value[p >> 3] >> (p & 7) & 1:
+                            out.append((node, found.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], names=["node", "found"])
+
+    got = texts.mapInArrow(frugal(run), "node long, found array<long>")
+    return got.join(ends, "node", "left_semi").groupBy("node").agg(F.first("found").alias("found"))
+
+
 def _fits(a: str, b: str, similarity: float) -> F.Column:
-    """Whether two sets' sizes, their numbers of shingles that repeat, and the bits by which they differ let them have the similarity.
+    """Whether two sets' sizes, their numbers of first shingles that repeat, and the bits by which they differ let them have the similarity.
 
     No pair with it is left out: the bits (exclusive-or and bit count) bound the shingles that only one of the sets holds from below.
     """
     both = F.col(f"{a}n") + F.col(f"{b}n")
-    sizes = F.least(f"{a}n", f"{b}n", f"{a}many", f"{b}many") >= F.lit(similarity / (1 + similarity)) * both - F.lit(1e-6)
+    least = F.least(f"{a}n", f"{b}n")
+    sizes = (least >= F.lit(similarity / (1 + similarity)) * both - F.lit(1e-6)) & (F.least(f"{a}many", f"{b}many") >= level(least))
     differ = functools.reduce(operator.add, (F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in PARITY))
     return sizes & (differ <= F.lit((1 - similarity) / (1 + similarity)) * both + F.lit(1e-6))
 
 
-def _verified(pairs: DataFrame, told: DataFrame, similarity: float, label: str) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, label: str) -> DataFrame:
     """The pairs u, v whose sets have the similarity."""
-    pairs = stage(pairs.distinct(), f"{label}-pairs")
+    pairs = listed = stage(pairs.distinct(), f"{label}-pairs")
     total = pairs.count()
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = stage(told.select("node", "found").join(ends, "node", "left_semi").groupBy("node").agg(F.first("found").alias("found")), f"{label}-sets")
+    sets = stage(_whole(texts, ends, shingle), f"{label}-sets")
     for side, name in (("u", "x"), ("v", "y")):
         weights = pairs.groupBy(side).agg(F.count("*").alias("weight"))
         keyed = weights.join(sets.withColumnsRenamed({"node": side, "found": name}), side)
         pairs = join_hot(pairs, keyed, side, "weight", total).drop("weight")
     both = pairs.withColumn("both", F.size(F.array_intersect("x", "y")))
-    return stage(both.where(F.col("both") + F.lit(1e-9) >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("both"))).select("u", "v"), label)
+    out = stage(both.where(F.col("both") + F.lit(1e-9) >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("both"))).select("u", "v"), label)
+    finished(listed, sets)
+    return out
 
 
 def _alike(told: DataFrame, radius: int) -> DataFrame:
@@ -156,32 +301,33 @@ def links(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     each shingle's first and last set are compared with its others; then all pairs that these links leave apart. Every pair is checked
     by its exact similarity.
     """
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = size // 6 + 1
-    again, hot = bloom.repeated_and_frequent(texts, _Keys(shingle), n, CELL, FILTER)
-    told = stage(texts.mapInArrow(frugal(_sets(again, hot, shingle, similarity)), f"node long, fp long, n int, many int, {", ".join(f"{w} long" for w in PARITY)}, tokens array<long>, found array<long>"), "told")
+    told = _sets(texts, shingle, similarity)
     own = ["node", "n", "many", *PARITY]
-    held = told.select(*own, F.posexplode("tokens").alias("pos", "token")).dropDuplicates(["node", "token"])
+    held = told.select(*own, F.posexplode("tokens").alias("pos", "token"))
     whole = F.struct(*own)
     ends = held.groupBy("token").agg(F.min(whole).alias("least"), F.max(whole).alias("most"), F.count("*").alias("held")).where("held > 1")
-    held = stage(join_hot(held, ends, "token", "held", held.count()), "held")
+    held = shared = stage(join_hot(held, ends, "token", "held", held.count()), "held")
     star = held.select(*own, F.explode(F.array("least", "most")).alias("end")).where("node != end.node").where(_fits("", "end.", similarity))
     star = star.select(F.least("node", "end.node").alias("u"), F.greatest("node", "end.node").alias("v"))
-    near = _verified(star.unionByName(_alike(told, radius)), told, similarity, "star")
+    near = _verified(star.unionByName(_alike(told, radius)), texts, shingle, similarity, "star")
     label = components(near).withColumnRenamed("u", "node")
     held = held.drop("least", "most").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    held = stage(held, "labelled")
+    held = labelled = stage(held, "labelled")
+    finished(told, shared)
     apart = held.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("held")).where("low != high")
     held = join_hot(held.drop("held"), apart, "token", "held", held.count()).drop("low", "high")
     held = held.withColumn("cells", F.ceil(F.col("held") / CELL).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     held = stage(held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))), "cells")
+    finished(labelled)
     a = held.select("token", F.col("part").alias("i"), F.col("other").alias("j"), *(F.col(c).alias(f"a_{c}") for c in (*own, "label", "pos")))
     b = held.select("token", F.col("other").alias("i"), F.col("part").alias("j"), *(F.col(c).alias(f"b_{c}") for c in (*own, "label", "pos")))
-    # what two sets share lies at or after the first shingle that both hold, so there this leaves room for enough of it
-    room = F.least(F.col("a_many") - F.col("a_pos"), F.col("b_many") - F.col("b_pos")) >= F.lit(similarity / (1 + similarity)) * (F.col("a_n") + F.col("b_n")) - F.lit(1e-6)
+    # what two sets share of their first shingles lies at or after the first that both hold, so there this leaves room for enough of it
+    room = F.least(F.col("a_many") - F.col("a_pos"), F.col("b_many") - F.col("b_pos")) >= level(F.least("a_n", "b_n"))
     pairs = a.join(b, ["token", "i", "j"]).where("a_label < b_label").where(room).where(_fits("a_", "b_", similarity))
     pairs = pairs.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v"))
-    return near.unionByName(_verified(pairs, told, similarity, "rest"))
+    rest = _verified(pairs, texts, shingle, similarity, "rest")
+    finished(held)
+    return near.unionByName(rest)
 
 
 def survivors(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
