@@ -161,7 +161,8 @@ class Mix:
         """Each word range of a document that the mix takes: doc_id, same, copy, src, block, shard, slot, round, word_from, word_to."""
         b = self.block
         spread = self.layout.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
-        joined = spread.join(self.slots, ["src", "block"])
+        # both sides are estimated by what they are exploded from, far below their size: neither may be broadcast
+        joined = spread.join(self.slots.hint("merge"), ["src", "block"])
         lo = F.greatest(F.col("block") * b - F.col("start"), F.lit(0))
         hi = F.least((F.col("block") + 1) * b - F.col("start"), F.col("size"))
         return joined.select(*KEY, "src", "block", "shard", "slot", "round", lo.alias("word_from"), hi.alias("word_to"))
